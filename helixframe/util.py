@@ -85,3 +85,9 @@ def parallelism(spark: SparkSession) -> int:
 
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Rows over at least as many partitions as there are cores, for work in Python on inputs of few splits."""
+    n = parallelism(df.sparkSession)
+    return df if df.rdd.getNumPartitions() >= n else df.repartition(n)
