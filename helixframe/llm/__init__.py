@@ -1,3 +1,3 @@
 """Operators for preparing model-training data. Nothing outside this subpackage imports it."""
 
-MODULES = ["packing", "splits", "neardup", "overlap", "vectors", "leaks", "tokens"]
+MODULES = ["packing", "splits", "neardup", "overlap", "vectors", "leaks", "tokens", "subjects"]
