@@ -19,7 +19,7 @@ from helixframe.util import materialize, parallelism, spread, strip, table
 SAMPLE = 20_000
 #: Rows and columns of the embedding table; lengths of the parts of words that have a row besides the word itself.
 ROWS, WIDTH, PARTS = 1 << 16, 24, (4, 5)
-ROUNDS, BATCH, RATE = 40, 256, 0.25
+ROUNDS, EPOCHS, BATCH, RATE = 14, 3, 256, 0.25
 #: Sentences that must be devoted to an area, and the probability from which one is.
 SENTENCES, LEVEL = 3, 0.4
 
@@ -79,12 +79,12 @@ def parts_of(p: np.ndarray, areas: int) -> tuple[np.ndarray, np.ndarray, np.ndar
     return p[:a].reshape(ROWS, WIDTH), p[a:b].reshape(WIDTH, areas), p[b:]
 
 
-def local_epoch(p: np.ndarray, words: Words, sents: list[np.ndarray], targets: np.ndarray, areas: int, history: np.ndarray, seed: int) -> np.ndarray:
-    """Adagrad over one task's sentences, from the common parameters; the change it would make."""
+def local_steps(p: np.ndarray, words: Words, sents: list[np.ndarray], targets: np.ndarray, areas: int, history: np.ndarray, seed: int) -> np.ndarray:
+    """EPOCHS passes of Adagrad over one task's sentences, from the common parameters; the change it would make."""
     mine, h = p.copy(), history.copy()
     e, w, b = parts_of(mine, areas)
     he, hw, hb = parts_of(h, areas)
-    order = np.random.default_rng(seed).permutation(len(sents))
+    order = np.concatenate([np.random.default_rng((seed, x)).permutation(len(sents)) for x in range(EPOCHS)])
     for i in range(0, len(order), BATCH):
         pick = order[i : i + BATCH]
         n = np.array([len(sents[s]) for s in pick])
@@ -134,8 +134,8 @@ def fit(documents: DataFrame, labels: DataFrame, areas: list[str], sample: int =
         of_doc = of_doc.where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < int(1_000_000 * sample / n)).limit(sample)
     tasks = max(1, min(parallelism(spark), 8, n // 50 or 1))
     examples = documents.select("doc_id", "text").join(of_doc.withColumnRenamed("doc_id", "_d"), F.col("doc_id") == F.col("_d")).where(F.length("text") > 0)
-    examples = examples.select("text", "areas", F.pmod(F.xxhash64("doc_id"), F.lit(tasks)).cast("int").alias("task"))
-    examples = materialize(examples, "examples").repartition(tasks, "task").persist()
+    examples = examples.select("text", "areas")
+    examples = materialize(examples, "examples").repartition(tasks).persist()
     k = len(areas)
     p, history = start_values(k), np.zeros(ROWS * WIDTH + WIDTH * k + k, np.float32)
     table_size = ROWS * WIDTH
@@ -154,7 +154,7 @@ def fit(documents: DataFrame, labels: DataFrame, areas: list[str], sample: int =
                             sents.append(np.array([words.of(w) for w in s]))
                             targets.append(y)
                 if sents:
-                    change = local_epoch(p0, words, sents, np.array(targets), k, h0, turn)
+                    change = local_steps(p0, words, sents, np.array(targets), k, h0, turn)
                     moved = change[:table_size].reshape(ROWS, WIDTH)
                     rows = np.flatnonzero(moved.any(axis=1)).astype(np.int32)
                     yield pa.RecordBatch.from_arrays([pa.array([rows.tobytes()]), pa.array([moved[rows].tobytes()]), pa.array([change[table_size:].tobytes()])], ["rows", "moved", "rest"])
