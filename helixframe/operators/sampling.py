@@ -6,21 +6,12 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from helixframe.functions.portable import hash_cap, stable_hash
+from helixframe.operators.running import running
 
 
 def group_place(df: DataFrame, group: str, order: str, name: str = "_place") -> DataFrame:
-    """0-based place of a row in its group by ``order``, salted: a hot group is ranked in slices of the order's range.
-
-    Slices follow the value range of a numeric ``order``; each slice is ranked on its own and moved by the size of the
-    slices before it.
-    """
-    b = df.withColumn("_slice", F.floor(F.col(order) / F.lit(4096)))
-    counts = b.groupBy(group, "_slice").agg(F.count(F.lit(1)).alias("_c"))
-    before = F.coalesce(F.sum("_c").over(Window.partitionBy(group).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    starts = counts.select(F.col(group).alias("_sg"), F.col("_slice").alias("_ss"), before.alias("_start"))
-    inner = F.row_number().over(Window.partitionBy(group, "_slice").orderBy(order)) - 1
-    j = b.withColumn("_in", inner).join(starts, F.col(group).eqNullSafe(F.col("_sg")) & (F.col("_slice") == F.col("_ss")))
-    return j.withColumn(name, F.col("_in") + F.col("_start")).drop("_slice", "_in", "_sg", "_ss", "_start")
+    """0-based place of a row in its group by ``order`` (unique in the group); a hot group spreads over tasks."""
+    return running(df.withColumn("__one", F.lit(1)), [group], [order], {name: "__one"}).withColumn(name, F.col(name) - 1).drop("__one")
 
 
 def sample_per_group(df: DataFrame, group: list[str], n: int, seed: int, *keys: str) -> DataFrame:
