@@ -102,7 +102,7 @@ def allocate(size: np.ndarray, count: np.ndarray, label: np.ndarray, shares: lis
 
 
 def split_components(rows: DataFrame, component: str, label: F.Column, shares: dict[str, float] = SHARES, seed: int = 42) -> DataFrame:
-    """Give every row the split of its component: the input's columns and ``split``.
+    """Give every row the split of its component: the input's columns and ``split`` (one there before is replaced).
 
     Components of the same size and label profile (share of each label in quarters) form a bundle; the number of
     bundles is bounded by the size classes times the profiles, not by the rows, and only bundles reach the driver.
@@ -111,19 +111,19 @@ def split_components(rows: DataFrame, component: str, label: F.Column, shares: d
     A null component is a component; an empty table gives no rows.
     """
     names = list(shares)
-    rows = rows.withColumn("_label", label.cast("string"))
-    by_label = rows.groupBy(component, "_label").agg(F.count(F.lit(1)).alias("_c"))
+    rows = rows.withColumn("__label", label.cast("string")).drop("split")
+    by_label = rows.groupBy(component, "__label").agg(F.count(F.lit(1)).alias("_c"))
     comps = by_label.groupBy(component).agg(
         F.sum("_c").alias("_size"),
-        F.max(F.struct(F.col("_c"), F.col("_label"))).getField("_label").alias("_main"),
-        F.sort_array(F.collect_list(F.struct("_label", "_c"))).alias("_profile"),
+        F.max(F.struct(F.col("_c"), F.col("__label"))).getField("__label").alias("_main"),
+        F.sort_array(F.collect_list(F.struct("__label", "_c"))).alias("_profile"),
     )
     step = F.when(F.col("_size") <= EXACT_SIZE, F.col("_size")).otherwise(EXACT_SIZE + F.floor(F.log2(F.col("_size") / EXACT_SIZE) * 16).cast("long"))
-    quarters = F.array_join(F.transform("_profile", lambda x: F.concat(F.coalesce(x["_label"], F.lit("-")), F.lit(":"), F.round(x["_c"] * 4 / F.col("_size")).cast("int"))), ",")
+    quarters = F.array_join(F.transform("_profile", lambda x: F.concat(F.coalesce(x["__label"], F.lit("-")), F.lit(":"), F.round(x["_c"] * 4 / F.col("_size")).cast("int"))), ",")
     comps = materialize(comps.select(component, "_size", "_main", step.alias("_step"), quarters.alias("_quarters")), "components")
     bundles = comps.groupBy("_step", "_quarters", "_main").agg(F.count(F.lit(1)).alias("n"), F.avg("_size").alias("size")).orderBy("_step", "_quarters", "_main").collect()
     if not bundles:
-        return rows.drop("_label").withColumn("split", F.lit(None).cast("string"))
+        return rows.drop("__label").withColumn("split", F.lit(None).cast("string"))
     number = {x: i for i, x in enumerate(sorted({r["_main"] or "" for r in bundles}))}
     whole = allocate(
         np.array([r["size"] for r in bundles]), np.array([r["n"] for r in bundles]), np.array([number[r["_main"] or ""] for r in bundles]), list(shares.values())
@@ -136,8 +136,8 @@ def split_components(rows: DataFrame, component: str, label: F.Column, shares: d
     pick = F.element_at(F.array(*[F.lit(x) for x in names]), (F.size(F.filter("_ends", lambda e: e <= F.col("_rank"))) + 1).cast("int"))
     chosen = ranked.join(
         bounds, (F.col("_step") == F.col("b_step")) & (F.col("_quarters") == F.col("b_quarters")) & F.col("_main").eqNullSafe(F.col("b_main"))
-    ).select(F.col(component).alias("_of"), pick.alias("split"))
-    return rows.drop("_label").join(chosen, F.col(component).eqNullSafe(F.col("_of"))).drop("_of")
+    ).select(F.col(component).alias("__of"), pick.alias("split"))
+    return rows.drop("__label").join(chosen, F.col(component).eqNullSafe(F.col("__of"))).drop("__of")
 
 
 def assay_components(spark: SparkSession, sf_dir: str) -> DataFrame:
