@@ -20,8 +20,8 @@ SAMPLE = 20_000
 #: Rows and columns of the embedding table; lengths of the parts of words that have a row besides the word itself.
 ROWS, WIDTH, PARTS = 1 << 16, 24, (4, 5)
 ROUNDS, EPOCHS, BATCH, RATE = 14, 3, 256, 0.25
-#: Sentences that must be devoted to an area, and the probability from which one is.
-SENTENCES, LEVEL = 3, 0.4
+#: Sentences that must be devoted to an area, and how far from the area's base rate towards certainty one is.
+SENTENCES, LEVEL = 3, 0.3
 
 _WORD = regex.compile(r"[\p{L}]+")
 _FORMAT = regex.compile(r"\p{Cf}+")
@@ -116,12 +116,13 @@ def area_key(c: F.Column) -> F.Column:
     return F.regexp_replace(F.lower(strip(c)), r"[\s_\-]+", "_")
 
 
-def fit(documents: DataFrame, labels: DataFrame, areas: list[str], sample: int = SAMPLE) -> np.ndarray:
-    """Parameters fitted on at most ``sample`` labelled documents (chosen by hash) and the labels' areas.
+def fit(documents: DataFrame, labels: DataFrame, areas: list[str], sample: int = SAMPLE) -> tuple[np.ndarray, np.ndarray]:
+    """Parameters, and the share of sentences under each area, fitted on at most ``sample`` labelled documents (chosen by hash) and the labels' areas.
 
     ``documents``: doc_id, text; ``labels``: doc_id, area (a key of ``areas``).
     Every sentence of a labelled document is an example with the document's areas as independent yes/no targets; what
-    is said in all areas alike ends at the base rate, so wrong labels and general sentences do not reach ``LEVEL``.
+    is said in all areas alike ends at the base rate, so wrong labels and general sentences do not reach
+    ``LEVEL``.
     In each round every partition runs over its sentences from the common parameters and sends its summed gradient
     steps, only for the rows it met; their mean makes the next common parameters. At most 8 partitions send at most
     6 MB each, whatever the corpus.
@@ -137,6 +138,7 @@ def fit(documents: DataFrame, labels: DataFrame, areas: list[str], sample: int =
     examples = examples.select("text", "areas")
     examples = materialize(examples, "examples").repartition(tasks).persist()
     k = len(areas)
+    prior = np.zeros(k)
     p, history = start_values(k), np.zeros(ROWS * WIDTH + WIDTH * k + k, np.float32)
     table_size = ROWS * WIDTH
     try:
@@ -157,34 +159,36 @@ def fit(documents: DataFrame, labels: DataFrame, areas: list[str], sample: int =
                     change = local_steps(p0, words, sents, np.array(targets), k, h0, turn)
                     moved = change[:table_size].reshape(ROWS, WIDTH)
                     rows = np.flatnonzero(moved.any(axis=1)).astype(np.int32)
-                    yield pa.RecordBatch.from_arrays([pa.array([rows.tobytes()]), pa.array([moved[rows].tobytes()]), pa.array([change[table_size:].tobytes()])], ["rows", "moved", "rest"])
+                    yield pa.RecordBatch.from_arrays([pa.array([rows.tobytes()]), pa.array([moved[rows].tobytes()]), pa.array([change[table_size:].tobytes()]), pa.array([sum(targets).astype(np.float64).tobytes()]), pa.array([len(sents)])], ["rows", "moved", "rest", "under", "n"])
 
             total, by = np.zeros_like(p), np.zeros(ROWS, np.float32)
-            parts = 0
-            for r in examples.select("text", "areas").mapInArrow(learn, "rows binary, moved binary, rest binary").collect():
+            parts, under, n_sents = 0, np.zeros(k), 0
+            for r in examples.select("text", "areas").mapInArrow(learn, "rows binary, moved binary, rest binary, under binary, n long").collect():
                 # A row's change is the mean over the partitions that changed it: rare words are not held back.
                 rows = np.frombuffer(r["rows"], np.int32)
                 total[:table_size].reshape(ROWS, WIDTH)[rows] += np.frombuffer(r["moved"], np.float32).reshape(-1, WIDTH)
                 by[rows] += 1
                 total[table_size:] += np.frombuffer(r["rest"], np.float32)
                 parts += 1
+                under += np.frombuffer(r["under"])
+                n_sents += r["n"]
             now.destroy()
             if not parts:
                 break
             total[:table_size].reshape(ROWS, WIDTH)[:] /= np.maximum(by, 1)[:, None]
             total[table_size:] /= parts
-            p = p + total
+            p, prior = p + total, under / n_sents
             history = history + (total / RATE) ** 2
     finally:
         examples.unpersist()
-    return p
+    return p, prior
 
 
-def score(documents: DataFrame, p: np.ndarray, areas: list[str], least: int = SENTENCES, level: float = LEVEL) -> DataFrame:
+def score(documents: DataFrame, p: np.ndarray, prior: np.ndarray, areas: list[str], least: int = SENTENCES, level: float = LEVEL) -> DataFrame:
     """doc_id, subject_area, sentences: the areas at least ``least`` sentences of a document are devoted to.
 
-    A sentence is devoted to its most probable area when that has at least ``level``. All sentences of all documents
-    are scored. Null, empty and blank texts have no rows; repeated rows are scored each.
+    A sentence is devoted to the area whose probability is the largest part of the way from the area's base rate to 1,
+    when that is at least ``level``. All sentences of all documents are scored. Null, empty and blank texts have no rows; repeated rows are scored each.
     """
     k = len(areas)
     model = documents.sparkSession.sparkContext.broadcast(p)
@@ -217,8 +221,9 @@ def score(documents: DataFrame, p: np.ndarray, areas: list[str], least: int = SE
                     stacked = np.concatenate([stacked, np.array(logits[len(stacked) :])])
                 n = np.array(n)
                 x = np.add.reduceat(stacked[np.array(flat)], np.cumsum(n) - n, axis=0) / n[:, None] + bias
+                x = (1 / (1 + np.exp(-np.clip(x, -30, 30))) - prior) / np.maximum(1 - prior, 1e-9)
                 top = x.argmax(1)
-                sure = 1 / (1 + np.exp(-x[np.arange(len(x)), top])) >= level
+                sure = x[np.arange(len(x)), top] >= level
                 counts = np.bincount(np.array(doc)[sure] * k + top[sure], minlength=b.num_rows * k)
                 at = np.flatnonzero(counts >= least)
                 yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(at // k)), pa.array([areas[a] for a in (at % k).tolist()], pa.string()), pa.array(counts[at])], ["doc_id", "subject_area", "sentences"])
@@ -235,7 +240,7 @@ def subjects(documents: DataFrame, labels: DataFrame, areas: DataFrame) -> DataF
     names = sorted(r[0] for r in areas.select("subject_area").where("subject_area is not null").distinct().collect())
     known = areas.select(area_key(F.col("subject_area")).alias("_k"), F.col("subject_area").alias("area")).distinct()
     clean = labels.select("doc_id", area_key(F.col("subject_area")).alias("_l")).join(F.broadcast(known), F.col("_l") == F.col("_k")).select("doc_id", "area").distinct()
-    return score(documents, fit(documents, clean, names), names)
+    return score(documents, *fit(documents, clean, names), names)
 
 
 def p9_areas(spark: SparkSession, sf_dir: str) -> DataFrame:
