@@ -124,7 +124,7 @@ def smp9_group_split(s, d):
     return S.group_split(pf(s, d).select("row_id", "clan_id"), "clan_id", 0.8, 3).select("row_id", "split")
 
 
-@query(f"SELECT row_id, CAST((row_number() OVER (PARTITION BY dataset ORDER BY {sql_hash(9, 'row_id')}, row_id) - 1) % 4 AS INTEGER) AS fold FROM dataset_info")
+@query(f"SELECT row_id, CAST((row_number() OVER (PARTITION BY CASE WHEN (SELECT min(n) FROM (SELECT count(*) AS n FROM dataset_info GROUP BY dataset)) >= 4 THEN dataset END ORDER BY {sql_hash(9, 'row_id')}, row_id) - 1) % 4 AS INTEGER) AS fold FROM dataset_info")
 def smp12_stratified_folds(s, d):
     return S.stratified_folds(T(s, d, "dataset_info").select("row_id", "dataset"), "dataset", 4, 9, "row_id").select("row_id", "fold")
 
