@@ -99,7 +99,8 @@ def pack(items: DataFrame, id_col: str, length: F.Column, capacity: int = CAPACI
 
     Output: the id, piece (0-based), train_row, position (offset in the container), length of the piece.
     Defined results: null, zero or negative lengths have no row; an item longer than the capacity is cut into full
-    pieces and a rest; ties in length are broken by id and piece; repeated ids are items of their own; a null id is
+    pieces and a rest; ties in length are broken by a hash of
+    id and piece, then by them; repeated ids are items of their own; a null id is
     packed like any other; an empty table gives no rows.
     """
     spark = items.sparkSession

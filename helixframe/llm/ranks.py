@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 def salted_rank(df: DataFrame, keys: list[str], order: list[str], rank: str, salts: int = 64) -> DataFrame:
     """Add ``rank``: 0, 1, 2, ... within ``keys``, dense and the same in every run.
 
-    A group is cut into ``salts`` slices by the hash of ``order``; ranks are counted inside a slice and moved by the
+    Ranks are dense but follow ``order`` only inside a slice: a group is cut into ``salts`` slices by the hash of
+    ``order``; ranks are counted inside a slice and moved by the
     size of the slices before it, so a hot group never sits in one task. The table of slices has at most
     groups x salts rows and is joined by whatever way its size suggests.
     """

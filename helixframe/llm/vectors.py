@@ -6,11 +6,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from helixframe.llm import kernels as K
-from helixframe.llm.ranks import salted_rank
 from helixframe.util import materialize, table
 
 DIM, NEIGHBOURS = 64, 5
@@ -294,8 +293,13 @@ def neighbours(df: DataFrame, k: int = NEIGHBOURS) -> DataFrame:
     reps = materialize(rows.groupBy("vector").agg(F.min("id").alias("id")).select("id", "vector"), "vectors")
     digest = lambda: F.md5(F.concat_ws(",", F.transform("vector", lambda x: x.cast("string"))).cast("binary"))
     members = rows.select("id", digest().alias("_d")).join(reps.select(F.col("id").alias("rep"), digest().alias("_e")), F.col("_d") == F.col("_e")).select("rep", "id")
-    members = materialize(salted_rank(members, ["rep"], ["id"], "place"), "members")
-    first = members.where(F.col("place") <= k).select(F.col("rep").alias("_of"), F.col("id").alias("other"))
+    members = materialize(members, "members")
+    # The k + 1 least ids of each fold: first of each slice of it, then of those, so no fold meets in one task.
+    few = members
+    for keys in (["rep", "_s"], ["rep"]):
+        few = few.withColumn("_s", F.pmod(F.xxhash64("id"), F.lit(64)))
+        few = few.withColumn("_r", F.row_number().over(Window.partitionBy(*keys).orderBy("id"))).where(F.col("_r") <= k + 1)
+    first = few.select(F.col("rep").alias("_of"), F.col("id").alias("other"))
     reach = knn(reps, k).union(reps.select("id", F.col("id"), F.lit(0.0)).toDF("id", "other", "dist")).select("id", F.col("other").alias("_c"), "dist")
     top = (
         reach.join(first, F.col("_c") == F.col("_of")).groupBy("id").agg(F.slice(F.sort_array(F.collect_list(F.struct("dist", "other"))), 1, k + 1).alias("x"))
