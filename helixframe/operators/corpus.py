@@ -115,12 +115,12 @@ def indexed(df: DataFrame, order: list[str], name: str = "row_idx") -> DataFrame
     the partition. The partitioned rows are stored first, as ranges are sampled and two runs may cut them differently.
     """
     cols = [F.col(c).asc_nulls_last() for c in order]
-    parted = materialize(df.repartitionByRange(*cols).withColumn("_p", F.spark_partition_id()), "ranges")
-    w = Window.partitionBy("_p").orderBy(*cols)
-    placed = parted.withColumn("_i", F.row_number().over(w))
-    sizes = parted.groupBy("_p").agg(F.count(F.lit(1)).alias("_n"))
-    start = sizes.select(F.col("_p").alias("_q"), F.coalesce(F.sum("_n").over(Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_s"))
-    return placed.join(F.broadcast(start), F.col("_p") == F.col("_q")).withColumn(name, F.col("_i") - 1 + F.col("_s")).drop("_p", "_q", "_s", "_i")
+    parted = materialize(df.repartitionByRange(*cols).withColumn("__part", F.spark_partition_id()), "ranges")
+    w = Window.partitionBy("__part").orderBy(*cols)
+    placed = parted.withColumn("__pos", F.row_number().over(w))
+    sizes = parted.groupBy("__part").agg(F.count(F.lit(1)).alias("__n"))
+    start = sizes.select(F.col("__part").alias("__part2"), F.coalesce(F.sum("__n").over(Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("__start"))
+    return placed.join(F.broadcast(start), F.col("__part") == F.col("__part2")).withColumn(name, F.col("__pos") - 1 + F.col("__start")).drop("__part", "__part2", "__start", "__pos")
 
 
 def match_rate(df: DataFrame, ids: DataFrame, key: str, sample: int = 10_000) -> DataFrame:
@@ -171,3 +171,18 @@ def drop_null_columns(df: DataFrame) -> DataFrame:
         return df
     have = df.agg(*[F.count(F.col(f"`{c}`")).alias(f"c{i}") for i, c in enumerate(df.columns)]).first()
     return df.select(*[F.col(f"`{c}`") for i, c in enumerate(df.columns) if have[i]])
+
+
+def informative_columns(df: DataFrame, defaults: dict[str, str]) -> DataFrame:
+    """PRJ13: without the columns that hold their default in every row, found in one pass."""
+    have = [c for c in defaults if c in df.columns]
+    if not have:
+        return df
+    odd = df.agg(*[F.max((~F.col(f"`{c}`").eqNullSafe(F.lit(defaults[c]))).cast("int")).alias(f"c{i}") for i, c in enumerate(have)]).first()
+    return df.drop(*[c for i, c in enumerate(have) if not odd[i]])
+
+
+def adjacent_gaps(positions: Column) -> Column:
+    """WIN14: differences between neighbours of the sorted positions of an array."""
+    s = F.array_sort(positions)
+    return F.zip_with(F.slice(s, 2, F.greatest(F.size(s) - 1, F.lit(0))), F.slice(s, 1, F.greatest(F.size(s) - 1, F.lit(0))), lambda a, b: a - b)

@@ -106,3 +106,48 @@ def interleave(df: DataFrame, source: str, key: str, batch: int, seed: int = 42)
     j = place.join(F.broadcast(size), F.col(source) == F.col("_z")).join(F.broadcast(names), F.col(source) == F.col("_src"))
     j = j.withColumn("batch_id", F.floor((F.col("_idx") - F.col("_before")) / batch)).where("batch_id < _full")
     return j.select(source, key, "batch_id", (F.col("batch_id") * F.col("_s") + F.col("_k")).alias("turn"))
+
+
+def distinct_batches(df: DataFrame, text: str, key: str, batch: int, seed: int = 42) -> DataFrame:
+    """TRN9: full batches in which no text repeats: key, batch_id.
+
+    The n-th copy of a text (in hash order) goes to block n; a block has each text once and is cut into batches, its
+    incomplete rest is left out as the last batch of an epoch is.
+    """
+    from helixframe.functions.portable import stable_hash
+    from helixframe.operators.running import running
+
+    one = df.where(F.col(text).isNotNull()).select(key, F.md5(F.col(text).cast("binary")).alias("_t"), stable_hash(seed, key).alias("_h")).withColumn("__one", F.lit(1))
+    copies = running(one, ["_t"], ["_h", key], {"_block": "__one"}).select(key, "_h", "_block", "__one")
+    placed = running(copies, ["_block"], ["_h", key], {"_at": "__one"})
+    size = copies.groupBy(F.col("_block").alias("_b")).agg(F.floor(F.count(F.lit(1)) / batch).alias("_full"))
+    first = size.withColumn("_first", F.coalesce(F.sum("_full").over(Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    j = placed.join(first, F.col("_block") == F.col("_b")).withColumn("_n", F.floor((F.col("_at") - 1) / batch)).where("_n < _full")
+    return j.select(key, (F.col("_first") + F.col("_n")).alias("batch_id"))
+
+
+def label_batches(df: DataFrame, label: str, key: str, per_label: int, labels: int, seed: int = 42) -> DataFrame:
+    """TRN9: batches of ``labels`` labels with ``per_label`` rows each: key, label, batch_id.
+
+    Rows of a label are dealt to sets of ``per_label`` in hash order; complete sets of different labels, in the order of
+    their number and hash, make the batches.
+    """
+    from helixframe.functions.portable import stable_hash
+    from helixframe.operators.corpus import indexed
+    from helixframe.operators.running import running
+
+    one = df.where(F.col(label).isNotNull()).select(key, label, stable_hash(seed, key).alias("_h")).withColumn("__one", F.lit(1))
+    dealt = running(one, [label], ["_h", key], {"_at": "__one"}).withColumn("_set", F.floor((F.col("_at") - 1) / per_label))
+    full = dealt.groupBy(F.col(label).alias("_l"), F.col("_set").alias("_s")).agg(F.count(F.lit(1)).alias("_c")).where(F.col("_c") == per_label)
+    order = indexed(full.withColumn("_o", stable_hash(seed, "_l", "_s")), ["_s", "_o", "_l"], "_i").select("_l", "_s", F.floor(F.col("_i") / labels).alias("batch_id"))
+    return dealt.join(order, (F.col(label) == F.col("_l")) & (F.col("_set") == F.col("_s"))).select(key, label, "batch_id")
+
+
+def file_budget(cap: int, files: int) -> int:
+    """TRN10: rows a file may give of a common cap; 0 stays no cap."""
+    return cap // max(1, files) if cap > 0 else 0
+
+
+def step_estimate(rows: int, batch: int, epochs: int = 1, ranks: int = 1) -> int:
+    """TRN8: optimizer steps from the rows, at least one."""
+    return max(1, rows * epochs // max(1, batch * ranks))

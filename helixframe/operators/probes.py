@@ -97,3 +97,59 @@ def macro(per_group: DataFrame, metric: str = "metric") -> DataFrame:
     """AGG17 / AGG18: mean of the finite values over groups and how many there were."""
     m = F.when(F.col(metric).isNotNull() & ~F.isnan(metric) & (F.abs(metric) < float("inf")), F.col(metric))
     return per_group.agg(F.avg(m).alias("macro_mean"), F.count(m).alias("groups"))
+
+
+def assay_ridge(df: DataFrame, group: str, item: str, vector: str, score: str, dim: int, alpha: float = 1.0) -> DataFrame:
+    """PRB7: one ridge model an assay on its training rows, Spearman on its test rows: group, n, spearman.
+
+    Folds as everywhere (``fold_flags``; needs row_id): assays of under ten rows have no test rows and no result. Each
+    task sends the sums of products of its rows of an assay, dim x dim numbers whatever the rows; the models are solved
+    from the added sums, so an assay that holds most rows is no burden. Vectors are standardised as for ``ridge``.
+    """
+    from collections.abc import Iterator
+
+    import numpy as np
+    import pyarrow as pa
+
+    from helixframe.operators.assays import fold_flags
+
+    ok = df.where(F.col(vector).isNotNull() & F.col(score).isNotNull() & F.col(group).isNotNull())
+    f = fold_flags(ok.select("row_id", group, item, F.transform(vector, lambda x: x.cast("double")).alias("_v"), F.col(score).cast("double").alias("_y")), group, item)
+
+    def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[str, np.ndarray] = {}
+        for b in batches:
+            g, y = np.array(b.column(0).to_pylist()), b.column(2).to_numpy()
+            x = b.column(1).flatten().to_numpy().reshape(-1, dim)
+            z = np.hstack([np.ones((len(y), 1)), x, y[:, None]])
+            for name in np.unique(g):
+                part = z[g == name]
+                held[str(name)] = held.get(str(name), 0) + part.T @ part
+        if held:
+            yield pa.RecordBatch.from_arrays([pa.array(list(held)), pa.array([m.tobytes() for m in held.values()], pa.binary())], ["g", "m"])
+
+    def solve(t: pa.Table) -> pa.Table:
+        m = sum(np.frombuffer(x, np.float64).reshape(dim + 2, dim + 2) for x in t.column("m").to_pylist())
+        n = m[0, 0]
+        mean, my = m[0, 1 : dim + 1] / n, m[0, dim + 1] / n
+        cov = m[1 : dim + 1, 1 : dim + 1] - n * np.outer(mean, mean)
+        std = np.sqrt(np.maximum(np.diag(cov) / n, 0))
+        std[std < 1e-12] = 1
+        w = np.linalg.solve(cov / np.outer(std, std) + alpha * np.eye(dim), (m[1 : dim + 1, dim + 1] - n * mean * my) / std) / std
+        return pa.table({"_g": t.column("g").slice(0, 1), "_w": pa.array([w.tolist()], pa.list_(pa.float64())), "_b": [float(my - mean @ w)]})
+
+    train = f.where("not is_test").select(F.col(group).cast("string"), "_v", "_y")
+    models = train.mapInArrow(sums, "g string, m binary").groupBy("g").applyInArrow(solve, "_g string, _w array<double>, _b double")
+    from helixframe.operators.vectormath import dot
+
+    test = f.where("is_test").join(models, F.col(group).cast("string") == F.col("_g")).select(group, F.round(dot("_v", "_w") + F.col("_b"), 9).alias("_p"), "_y")
+    return M.spearman(test, "_p", "_y", [group])
+
+
+def plane(df: DataFrame, key: str, vector: str, dims: int = 2) -> DataFrame:
+    """VEC9: projection on the first principal components, the stand-in for a neighbour embedding: key, point."""
+    from pyspark.ml.feature import PCA
+    from pyspark.ml.functions import vector_to_array
+
+    v = df.where(F.col(vector).isNotNull()).withColumn("_f", array_to_vector(F.transform(vector, lambda x: x.cast("double"))))
+    return PCA(k=dims, inputCol="_f", outputCol="_o").fit(v).transform(v).select(key, vector_to_array("_o").alias("point"))
