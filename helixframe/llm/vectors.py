@@ -319,4 +319,10 @@ def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {"p5_found": p5_found, "p5_neighbours": p5_neighbours}
-SQL: dict[str, str] = {}
+SQL = {
+    "p5_found": """
+WITH u AS (SELECT vec_id AS id, CAST(vector AS DOUBLE[]) AS v FROM sequence_vectors WHERE len(vector) = 64 AND len(list_filter(vector, lambda x: x IS NOT NULL AND isfinite(x))) = 64 AND len(list_filter(vector, lambda x: x <> 0)) > 0),
+w AS (SELECT id, v, sqrt(list_dot_product(v, v)) AS n FROM u),
+r AS (SELECT a.id AS x, b.id AS y, row_number() OVER (PARTITION BY a.id ORDER BY round(list_dot_product(a.v, b.v) / (a.n * b.n), 9) DESC, b.id) AS r FROM w a JOIN w b ON a.id <> b.id)
+SELECT DISTINCT least(x, y) AS vec_id_a, greatest(x, y) AS vec_id_b FROM r WHERE r <= 5"""
+}
