@@ -25,16 +25,23 @@ SENTENCES, LEVEL = 3, 0.3
 
 _WORD = regex.compile(r"[\p{L}]+")
 _FORMAT = regex.compile(r"\p{Cf}+")
-_END = regex.compile(r"""[\r\n\v\f  ]+|(?<=[.!?…。])["”’')\]]*\s+""")
+_LINE = regex.compile("\r\n?|[\v\f\x85\u2028\u2029]")
+_END = regex.compile(r"""(?<=[.!?…。])["”’')\]]*\s+|\n[^\S\n]*\n""")
+#: Words a sentence has at least; less are headings, counters and the like.
+WORDS = 3
 
 
 def sentences(text: str | None) -> list[list[str]]:
-    """Words (runs of letters, lower-cased, NFKC, no format characters) of each sentence or line that has any."""
+    """Words (runs of letters, lower-cased, NFKC, no format characters) of each sentence that has WORDS of them.
+
+    A sentence ends with its punctuation or at a blank line; a single line break may stand anywhere inside it.
+    """
     if not text:
         return []
     if not text.isascii():
         text = _FORMAT.sub("", unicodedata.normalize("NFKC", text))
-    return [w for s in _END.split(text.lower()) if s and (w := _WORD.findall(s))]
+    split = (_WORD.findall(s) for s in _END.split(_LINE.sub("\n", text.lower())) if s)
+    return [w for w in split if len(w) >= WORDS]
 
 
 def word_rows(word: str) -> list[int]:

@@ -97,7 +97,8 @@ def test_leaks_empty(spark):
 
 
 def test_sentences():
-    assert subjects.sentences("One two. Three (n = 3.5)!\n* Four\r\n\r\n5 6\n") == [["one", "two"], ["three", "n"], ["four"]]
+    text = "One two three. Four five (n = 3.5) six!\r\n* Seven eight\n nine\nten\r\n\r\nHeading\n \n5 6\nlast but one? “Quoted to the end.” And more words"
+    assert [" ".join(s) for s in subjects.sentences(text)] == ["one two three", "four five n six", "seven eight nine ten", "last but one", "quoted to the end", "and more words"]
     assert subjects.sentences(None) == [] and subjects.sentences("  ") == []
 
 
