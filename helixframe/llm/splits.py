@@ -108,7 +108,7 @@ def split_components(rows: DataFrame, component: str, label: F.Column, shares: d
     bundles is bounded by the size classes times the profiles, not by the rows, and only bundles reach the driver.
     ``allocate`` solves the quotas, and the members of a bundle go to its splits in the order of their hash.
     Rows of one component never part, so a component larger than a quota makes its split larger than asked.
-    A null component is a component; an empty table gives no rows.
+    ``label``: a column of few values. A null component is a component; an empty table gives no rows.
     """
     names = list(shares)
     rows = rows.withColumn("__label", label.cast("string")).drop("split")
