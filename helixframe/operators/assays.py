@@ -88,8 +88,9 @@ def pairs_inside(df: DataFrame, group: str, item: str, order: str, cap: int = 0,
     """JN18 / SMP5: unordered pairs of rows of a group: group, left, right (by ``order``), hash.
 
     cap <= 0, or at least as large as n(n-1)/2: all pairs, which is what is asked for then. Otherwise ``cap`` different
-    pairs a group without building the others: member x of n is paired with the members at seeded offsets,
-    and draws are repeated by number until ``cap`` distinct pairs are reached (4 draws a wanted pair, ordered by hash).
+    different pairs a group without building the others: 4 * cap + 64 seeded draws of two members, their distinct pairs
+    ordered by hash, the first ``cap`` kept. A group with no more pairs than draws has all its pairs listed instead.
+    The draws of a larger group give ``cap`` distinct pairs with overwhelming likelihood, but not by proof.
     """
     base = df.select(F.col(group).alias("_g"), F.col(item).alias("_i"), F.col(order).alias("_o")).where(F.col(group).isNotNull())
     if cap <= 0:
@@ -100,11 +101,12 @@ def pairs_inside(df: DataFrame, group: str, item: str, order: str, cap: int = 0,
 
     placed = group_place(base, "_g", "_o")
     n = placed.groupBy("_g").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1")
-    few = n.where(F.col("_n") * (F.col("_n") - 1) / 2 <= 4 * cap)
-    many = n.where(F.col("_n") * (F.col("_n") - 1) / 2 > 4 * cap)
+    tries = 4 * cap + 64
+    few = n.where(F.col("_n") * (F.col("_n") - 1) / 2 <= tries)
+    many = n.where(F.col("_n") * (F.col("_n") - 1) / 2 > tries)
     i = F.explode(F.sequence(F.lit(0), F.col("_n") - 2)).alias("_x")
     all_pairs = few.select("_g", "_n", i).select("_g", F.col("_x"), F.explode(F.sequence(F.col("_x") + 1, F.col("_n") - 1)).alias("_y"))
-    draws = many.select("_g", "_n", F.explode(F.sequence(F.lit(1), F.lit(4 * cap))).alias("_d"))
+    draws = many.select("_g", "_n", F.explode(F.sequence(F.lit(1), F.lit(tries))).alias("_d"))
     pick = lambda s: F.pmod(F.xxhash64(F.lit(seed), F.lit(s), F.col("_g"), F.col("_d")), F.col("_n"))
     drawn = draws.select("_g", pick(1).alias("a"), pick(2).alias("b")).where("a <> b").select("_g", F.least("a", "b").alias("_x"), F.greatest("a", "b").alias("_y")).distinct()
     ranked = all_pairs.union(drawn).withColumn("_h", stable_hash(seed, "_g", "_x", "_y"))
