@@ -87,7 +87,7 @@ def forbid_pairs(pairs: DataFrame, forbidden: DataFrame, keys: list[str]) -> Dat
 def pairs_inside(df: DataFrame, group: str, item: str, order: str, cap: int = 0, seed: int = 42) -> DataFrame:
     """JN18 / SMP5: unordered pairs of rows of a group: group, left, right (by ``order``), hash.
 
-    cap <= 0, or at least as large as n(n-1)/2: all pairs, which is what is asked for then. Otherwise ``cap`` different
+    cap <= 0, or at least as large as n(n-1)/2: all pairs, which is what is asked for then. Otherwise ``cap``
     different pairs a group without building the others: 4 * cap + 64 seeded draws of two members, their distinct pairs
     ordered by hash, the first ``cap`` kept. A group with no more pairs than draws has all its pairs listed instead.
     The draws of a larger group give ``cap`` distinct pairs with overwhelming likelihood, but not by proof.
