@@ -52,6 +52,32 @@ def test_near_pairs(spark, texts):
     assert short <= got
 
 
+def test_near_pairs_of_a_large_family(spark):
+    # All combinations of the family's common windows are crowded; pairs just over the threshold have the fewest of them.
+    rng = random.Random(21)
+    core = "".join(rng.choice(AA) for _ in range(130))
+    family = list(dict.fromkeys(edited(core, 0.04, rng) for _ in range(900)))
+    rec, code = K.codes(*K.text_bytes(pa.array(family)), K.WINDOW)
+    windows = np.unique(np.stack([rec, code]), axis=1)
+    _, token, often = np.unique(windows[1], return_inverse=True, return_counts=True)
+    size = np.bincount(windows[0])
+    shared = often[token] > 1
+    column = np.cumsum(often > 1) - 1
+    has = np.zeros((len(family), int(column[-1]) + 1), np.float32)
+    has[windows[0][shared], column[token[shared]]] = 1
+    both = has @ has.T
+    i, j = np.triu_indices(len(family), 1)
+    s = both[i, j] / (size[i] + size[j] - both[i, j])
+    close = (s >= 0.5) & (s < 0.55)
+    want = set(zip(i[close].tolist(), j[close].tolist()))
+    assert len(want) > 50_000
+    t = N.near_pairs(spark.createDataFrame(list(enumerate(family)), "id long, residues string")).toArrow()
+    got = set(zip(t.column("id_a").to_pylist(), t.column("id_b").to_pylist()))
+    assert len(got) == t.num_rows and not got - set(zip(i[s >= 0.5].tolist(), j[s >= 0.5].tolist()))
+    print("missed", len(want - got), "of", len(want))
+    assert len(want - got) <= 1e-4 * len(want)
+
+
 def test_near_pairs_edges(spark):
     assert N.near_pairs(spark.createDataFrame([], "id long, residues string")).collect() == []
     df = spark.createDataFrame([(1, "ACDEF"), (2, "ACDEFG"), (3, "AAAAAAAAAA"), (4, "AAAAAA"), (5, "ACDEF" * 9000)], "id long, residues string")
