@@ -88,7 +88,7 @@ def flt14_finite_scores(s, d):
 @query("SELECT vec_id, list_transform(vector, lambda x: CASE WHEN isnan(x) THEN 0 ELSE x END) AS v FROM sequence_vectors WHERE len(vector) = 63")
 def flt17_nan_to_zero(s, d):
     v = F.transform("vector", lambda x: F.when(F.isnan(x), F.lit(0.0).cast("float")).otherwise(x))
-    return T(s, d, "sequence_vectors").where(F.size("vector") == 63).select("vec_id", v.alias("v"))
+    return T(s, d, "sequence_vectors").select("vec_id", v.alias("v"))
 
 
 @query(f"WITH {PF} SELECT row_id AS corpus_id, seq AS sequence, fam AS family_id FROM pf")
