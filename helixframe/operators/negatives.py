@@ -16,12 +16,12 @@ AMINO = "ACDEFGHIKLMNPQRSTVWY"
 SLICE = 20_000
 
 
-def profile_table(df: DataFrame, family: str, seq: str, length: int = 200) -> DataFrame:
+def profile_table(df: DataFrame, family: str, seq: str) -> DataFrame:
     """Position-specific log-odds of each family's own members: family, pos, aa, log_odds (half a count added to each cell).
 
-    For families without a profile library; the first ``length`` positions are counted.
+    For families without a profile library; every position up to the longest member's last is counted.
     """
-    cells = df.where(F.col(family).isNotNull() & F.col(seq).isNotNull()).select(F.col(family).alias("family"), F.posexplode(F.split(F.substring(seq, 1, length), "")).alias("pos", "aa")).where(F.col("aa").rlike("[ACDEFGHIKLMNPQRSTVWY]"))
+    cells = df.where(F.col(family).isNotNull() & F.col(seq).isNotNull()).select(F.col(family).alias("family"), F.posexplode(F.split(F.col(seq), "")).alias("pos", "aa")).where(F.col("aa").rlike("[ACDEFGHIKLMNPQRSTVWY]"))
     n = cells.groupBy("family", "pos", "aa").agg(F.count(F.lit(1)).alias("n"))
     total = n.groupBy(F.col("family").alias("_f"), F.col("pos").alias("_p")).agg(F.sum("n").alias("_t"))
     grid = total.select("_f", "_p", "_t", F.explode(F.array(*[F.lit(a) for a in AMINO])).alias("_a"))

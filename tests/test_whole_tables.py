@@ -19,3 +19,13 @@ def test_nan_to_zero_at_every_length(spark, tmp_path):
     spark.createDataFrame([(1, [nan, 2.0]), (2, [nan] * 64), (3, [1.0] * 63), (4, None), (5, [])], "vec_id long, vector array<float>").write.parquet(f"{tmp_path}/sequence_vectors.parquet")
     got = {r["vec_id"]: r["v"] for r in CQ.flt17_nan_to_zero(spark, str(tmp_path)).collect()}
     assert got == {1: [0.0, 2.0], 2: [0.0] * 64, 3: [1.0] * 63, 4: None, 5: []}
+
+
+def test_profiles_of_long_families(spark):
+    rows = [(i, "F", "ACDEFGHIKLMNPQRSTVWY" * 20 + "A" * i) for i in range(3)]
+    df = spark.createDataFrame(rows, "row_id long, f string, s string")
+    odds = {(r["pos"], r["aa"]): r["log_odds"] for r in N.profile_table(df, "f", "s").collect()}
+    assert {p for p, _ in odds} == set(range(402)) and len(odds) == 402 * 20
+    assert odds[399, "Y"] > 1 > 0 > odds[399, "A"]
+    pool = N.candidate_pool(df, N.profile_table(df, "f", "s"), "row_id", "f", "s").where("row_id = 0")
+    assert {r["pos"] for r in pool.select("pos").distinct().collect()} == set(range(400))
