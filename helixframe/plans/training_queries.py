@@ -68,10 +68,7 @@ def jn8_forbidden_pairs(s, d):
 
 @query(f"WITH {TDP}, t AS (SELECT * FROM tdp WHERE dms_id IN (SELECT dms_id FROM tdp GROUP BY 1 HAVING count(*) <= 20)) SELECT a.dms_id, a.row_id AS left_id, b.row_id AS right_id, round(abs(a.score - b.score), 6) AS gap FROM t a JOIN t b ON a.dms_id = b.dms_id AND a.row_id < b.row_id")
 def jn18_pairs_inside(s, d):
-    t = tdp(s, d)
-    few = t.groupBy("dms_id").agg(F.count(F.lit(1)).alias("n")).where("n <= 20").select(F.col("dms_id").alias("g"))
-    t = t.join(few, F.col("dms_id") == F.col("g"), "left_semi")
-    return A.pairs_inside(t, "dms_id", "score", "row_id").select("dms_id", "left_id", "right_id", F.round(F.abs(F.col("left") - F.col("right")), 6).alias("gap"))
+    return A.pairs_inside(tdp(s, d), "dms_id", "score", "row_id").select("dms_id", "left_id", "right_id", F.round(F.abs(F.col("left") - F.col("right")), 6).alias("gap"))
 
 
 @query(None)

@@ -29,3 +29,9 @@ def test_profiles_of_long_families(spark):
     assert odds[399, "Y"] > 1 > 0 > odds[399, "A"]
     pool = N.candidate_pool(df, N.profile_table(df, "f", "s"), "row_id", "f", "s").where("row_id = 0")
     assert {r["pos"] for r in pool.select("pos").distinct().collect()} == set(range(400))
+
+
+def test_pairs_inside_every_assay(spark, tmp_path):
+    rows = assays(spark, tmp_path, {"BIG": 45, "SMALL": 5, "ONE": 1})
+    want = sorted((a[1], a[0], b[0], abs(a[4] - b[4])) for a in rows for b in rows if a[1] == b[1] and a[0] < b[0])
+    assert sorted(tuple(r) for r in TQ.jn18_pairs_inside(spark, str(tmp_path)).collect()) == want and len(want) == 1000
