@@ -7,9 +7,12 @@ from pyspark.sql import functions as F
 from helixframe.functions import portable as P
 from helixframe.operators import corpus as C
 from helixframe.operators import links as L
+from helixframe.operators.sampling import group_place
 from helixframe.plans.common import DMS, PF, TDP, T, dms, pf, tdp
 
 QUERIES, SQL = {}, {}
+#: Members in one list of agg7_member_lists.
+MEMBERS = 1000
 
 
 def query(sql: str | None):
@@ -228,11 +231,10 @@ def agg6_score_statistics(s, d):
 
 @query(f"WITH {TDP} SELECT dms_id, list(mutant ORDER BY row_id) AS members, list(row_id ORDER BY row_id) AS ids FROM tdp WHERE mutant <> '' AND dms_id IN (SELECT dms_id FROM tdp GROUP BY 1 HAVING count(*) <= 50) GROUP BY 1")
 def agg7_member_lists(s, d):
-    # The size bound is the feature: lists are made for small groups only.
-    t = tdp(s, d)
-    small = t.groupBy("dms_id").agg(F.count(F.lit(1)).alias("n")).where("n <= 50").select(F.col("dms_id").alias("g"))
-    x = t.where("mutant <> ''").join(small, F.col("dms_id") == F.col("g"), "left_semi").groupBy("dms_id").agg(F.sort_array(F.collect_list(F.struct("row_id", "mutant"))).alias("m"))
-    return x.select("dms_id", F.col("m.mutant").alias("members"), F.col("m.row_id").alias("ids"))
+    # Every group has all its members, in numbered slices of MEMBERS, so that no list grows with its group.
+    t = group_place(tdp(s, d).where("mutant <> '' and dms_id is not null").select("row_id", "dms_id", "mutant"), "dms_id", "row_id")
+    x = t.groupBy("dms_id", F.floor(F.col("_place") / MEMBERS).alias("slice")).agg(F.sort_array(F.collect_list(F.struct("row_id", "mutant"))).alias("m"))
+    return x.select("dms_id", "slice", F.col("m.mutant").alias("members"), F.col("m.row_id").alias("ids"))
 
 
 @query(f"WITH {PF} SELECT fam, count(*) AS n FROM pf WHERE fam IS NOT NULL GROUP BY 1 ORDER BY n DESC, fam LIMIT 20")

@@ -35,3 +35,11 @@ def test_pairs_inside_every_assay(spark, tmp_path):
     rows = assays(spark, tmp_path, {"BIG": 45, "SMALL": 5, "ONE": 1})
     want = sorted((a[1], a[0], b[0], abs(a[4] - b[4])) for a in rows for b in rows if a[1] == b[1] and a[0] < b[0])
     assert sorted(tuple(r) for r in TQ.jn18_pairs_inside(spark, str(tmp_path)).collect()) == want and len(want) == 1000
+
+
+def test_member_lists_of_every_group(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(CQ, "MEMBERS", 30)
+    rows = assays(spark, tmp_path, {"BIG": 70, "SMALL": 5})
+    lists = sorted(CQ.agg7_member_lists(spark, str(tmp_path)).collect(), key=lambda r: (r["dms_id"], r["slice"]))
+    assert [(r["dms_id"], r["slice"], len(r["ids"])) for r in lists] == [("BIG", 0, 30), ("BIG", 1, 30), ("BIG", 2, 10), ("SMALL", 0, 5)]
+    assert [(i, r["dms_id"], m) for r in lists for i, m in zip(r["ids"], r["members"])] == [r[:3] for r in rows]
