@@ -43,3 +43,8 @@ def test_member_lists_of_every_group(spark, tmp_path, monkeypatch):
     lists = sorted(CQ.agg7_member_lists(spark, str(tmp_path)).collect(), key=lambda r: (r["dms_id"], r["slice"]))
     assert [(r["dms_id"], r["slice"], len(r["ids"])) for r in lists] == [("BIG", 0, 30), ("BIG", 1, 30), ("BIG", 2, 10), ("SMALL", 0, 5)]
     assert [(i, r["dms_id"], m) for r in lists for i, m in zip(r["ids"], r["members"])] == [r[:3] for r in rows]
+
+
+def test_gaps_of_every_customer(spark, tmp_path):
+    spark.createDataFrame([(10, 5), (10, 1), (10, 12), (7, 3), (7, 4), (8, 9)], "o_custkey long, o_orderkey long").write.parquet(f"{tmp_path}/orders.parquet")
+    assert {r["o_custkey"]: r["gaps"] for r in MQ.win14_adjacent_gaps(spark, str(tmp_path)).collect()} == {10: [4, 7], 7: [1]}
