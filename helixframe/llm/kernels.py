@@ -5,9 +5,9 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 
-from helixframe.functions.kernels import codes, first_of, mix32, mix64, steps, text_bytes, unique, unique_pairs
+from helixframe.functions.kernels import STEP, codes, first_of, mix32, mix64, steps, text_bytes, unique, unique_pairs
 
-__all__ = ["codes", "first_of", "mix32", "mix64", "steps", "text_bytes", "unique", "unique_pairs"]
+__all__ = ["STEP", "codes", "first_of", "mix32", "mix64", "steps", "text_bytes", "unique", "unique_pairs"]
 
 WINDOW = 5
 

@@ -10,178 +10,57 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from helixframe.llm import kernels as K
+from helixframe.llm import prefixes as P
 from helixframe.llm.graph import components
 from helixframe.util import materialize, residues, table
 
 THRESHOLD = 0.5
-#: Token classes; each gives one signature a record.
-CLASSES = 64
-#: A combination of two tokens shared by more records than this is crowded.
-CROWD = 48
-#: Independent hashings in which the records of crowded combinations are searched again, by three tokens.
-ROUNDS = 3
-#: Pairs with fewer windows than this in the smaller record are found by single tokens (exact prefix filter).
-SHORT = 40
-#: Signatures a bucket of the exchange is meant to hold.
-BUCKET = 1_000_000
 
-_SIG = np.dtype("<u8")
 
+def record_table(reps: DataFrame, label: F.Column | None = None) -> DataFrame:
+    """``reps`` (id, residues) with the columns that ``prefixes.meet`` reads."""
+    none = lambda kind: F.lit(None).cast(kind)
+    return reps.select("id", "residues", F.lit(0).alias("side"), none("string").alias("scope"), (none("long") if label is None else label).alias("label"))
 
-def prefixes(off: np.ndarray, data: np.ndarray, hashing: int = 0) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Record and hash of each distinct window of a batch, the records with windows and the class prefixes of each of them.
 
-    Every distinct window is a token. Tokens fall into CLASSES classes by hash and are ordered inside a class by a
-    second hash, the same for all records; the record's least token of a class is the class prefix, and a class without
-    tokens borrows the next one's. Each value of ``hashing`` gives other classes and another order.
-    """
-    rec, code = K.codes(off, data, K.WINDOW)
-    code = code + (hashing << 26)
-    h = K.mix32(code).astype(np.int64)
-    cls = (K.mix32(code + (1 << 25)) % np.uint32(CLASSES)).astype(np.int64)
-    key = K.unique((rec << 38) | (cls << 32) | h)
-    rec, cls, h = key >> 38, (key >> 32) & 63, key & 0xFFFFFFFF
-    n = len(off) - 1
-    least = np.zeros((n, CLASSES), np.uint64)
-    at = K.first_of(key >> 32)
-    least[rec[at], cls[at]] = h[at].astype(np.uint64) + np.uint64(1)
-    has = np.flatnonzero(np.bincount(rec, minlength=n) > 0)
-    m = least[has]
-    while (m == 0).any():
-        m = np.where(m == 0, np.where(np.roll(m, -1, axis=1) > 0, K.mix64(np.roll(m, -1, axis=1)), 0), m)
-    return rec, h, has, m
-
-
-def joined(m: np.ndarray, tokens: int, hashing: int = 0) -> np.ndarray:
-    """Keys of the combinations of ``tokens`` neighbouring class prefixes (circular), the lowest bit 0."""
-    key = m + (np.arange(1, CLASSES + 1, dtype=np.uint64) << np.uint64(40)) + (np.uint64(hashing) << np.uint64(50))
-    for j in range(1, tokens):
-        key = K.mix64(key) + np.roll(m, -j, axis=1)
-    return K.mix64(key) & ~np.uint64(1)
-
-
-def signatures(off: np.ndarray, data: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray]:
-    """Record and key of each signature of a batch: CLASSES combinations of two tokens a record.
-
-    Records with under 2 * SHORT windows also give the single tokens of their Jaccard prefix in the one global order;
-    the lowest bit of their keys is 1.
-    """
-    rec, h, has, m = prefixes(off, data)
-    n = len(off) - 1
-    size = np.bincount(rec, minlength=n)
-    out_rec, out_key = [np.repeat(has, CLASSES)], [joined(m, 2).ravel()]
-    few = np.flatnonzero((size > 0) & (size < 2 * SHORT))
-    if len(few):
-        mine = np.isin(rec, few)
-        r, t = rec[mine], K.mix64(h[mine].astype(np.uint64) + np.uint64(1 << 50))
-        o = np.lexsort((t, r))
-        r, t = r[o], t[o]
-        start = np.r_[0, np.cumsum(np.bincount(r, minlength=n))][:-1]
-        place = np.arange(len(r)) - start[r]
-        prefix = size[r] - np.ceil(threshold * size[r] - 1e-9).astype(np.int64) + 1
-        keep = place < prefix
-        out_rec.append(r[keep])
-        out_key.append(K.mix64(t[keep]) | np.uint64(1))
-    return np.concatenate(out_rec), np.concatenate(out_key)
-
-
-def crowd_signatures(off: np.ndarray, data: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray]:
-    """Record and key of CLASSES combinations of three tokens a record in each of ROUNDS hashings of their own."""
-    out_rec, out_key = [], []
-    for hashing in range(1, ROUNDS + 1):
-        _, _, has, m = prefixes(off, data, hashing)
-        out_rec.append(np.repeat(has, CLASSES))
-        out_key.append(joined(m, 3, hashing).ravel())
-    return np.concatenate(out_rec), np.concatenate(out_key)
-
-
-def _folded(found: list[tuple]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Distinct pairs of all blocks with their summed counts."""
-    a, b, n = (np.concatenate(c) for c in zip(*found))
-    o = np.lexsort((b, a))
-    a, b, n = a[o], b[o], n[o]
-    at = np.flatnonzero(np.r_[True, (a[1:] != a[:-1]) | (b[1:] != b[:-1])]) if len(a) else np.zeros(0, np.int64)
-    return a[at], b[at], np.minimum(np.add.reduceat(n, at) if len(at) else n, 99)
-
-
-def met(reps: DataFrame, keys, per_record: int, crowd: int | None, threshold: float) -> DataFrame:
-    """Pairs of records sharing at least two keys (or one whose lowest bit is 1): id_a < id_b, n.
-
-    ``keys``: a function like ``signatures``. A key with lowest bit 0 that more than ``crowd`` records share gives no
-    pairs; its records are named in rows with id_a = id_b instead. None: every key gives its pairs.
-    """
-    n_buckets = max(4, -(-reps.count() * per_record // BUCKET))
-
-    def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            parts = []
-            for p in K.steps(b):
-                rec, key = keys(*K.text_bytes(p.column(1)), threshold)
-                parts.append((p.column(0).to_numpy()[rec], ((key >> np.uint64(40)) % np.uint64(n_buckets)).astype(np.int64), key))
-            if sum(len(p[0]) for p in parts):
-                ids, bucket, sig = (np.concatenate(c) for c in zip(*parts))
-                yield K.pack_buckets(bucket, n_buckets, ids, sig)
-
-    def match(t: pa.Table) -> pa.Table:
-        ids, sig = K.unpack_bucket(t, _SIG)
-        order = np.argsort(sig, kind="stable")
-        sig, ids = sig[order], ids[order]
-        starts = K.first_of(sig)
-        ends = np.r_[starts[1:], len(sig)]
-        single = (sig[starts] & np.uint64(1)) == 1
-        done = single | (ends - starts <= (crowd or len(sig)))
-        found, waiting = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64))], 0
-        for strong in (False, True):
-            of = done & (single == strong)
-            for i, j in K.pair_blocks(starts[of], ends[of]):
-                a, b = np.minimum(ids[i], ids[j]), np.maximum(ids[i], ids[j])
-                a, b, n = K.unique_pairs(a[a != b], b[a != b])
-                found.append((a, b, n * (1 + strong)))
-                waiting += len(a)
-                if waiting > 2 * len(found[0][0]) + 4_000_000:
-                    found, waiting = [_folded(found)], 0
-        a, b, n = _folded(found)
-        inside = np.zeros(len(sig) + 1, np.int64)
-        inside[starts[~done]] += 1
-        inside[ends[~done]] -= 1
-        many = np.unique(ids[np.cumsum(inside)[:-1] > 0])
-        return pa.table({"id_a": pa.array(np.r_[a, many], pa.int64()), "id_b": pa.array(np.r_[b, many], pa.int64()), "n": pa.array(np.r_[n, np.zeros(len(many), np.int64)], pa.int64())})
-
-    packed = reps.select("id", "residues").mapInArrow(emit, K.PACKED)
-    return packed.groupBy("bucket").applyInArrow(match, "id_a long, id_b long, n long").groupBy("id_a", "id_b").agg(F.sum("n").alias("n")).where("n >= 2 or id_a = id_b")
-
-
-def candidate_pairs(reps: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """Pairs to be verified by ``near_pairs``, whose docstring has the method: id_a < id_b."""
-    first = materialize(met(reps, signatures, CLASSES, CROWD, threshold), "met")
-    pairs = first.where("id_a < id_b").select("id_a", "id_b")
-    crowd = materialize(reps.join(first.where("id_a = id_b").select(F.col("id_a").alias("id")), "id", "left_semi").select("id", "residues"), "crowd")
-    if crowd.isEmpty():
-        return pairs
-    return pairs.union(met(crowd, crowd_signatures, CLASSES * ROUNDS, None, threshold).select("id_a", "id_b")).distinct()
+def token_tiers(reps: DataFrame) -> tuple[dict[int, np.ndarray], int]:
+    """Tier of every possible window by the number of records that hold it (over all of ``reps``), and their residues."""
+    counts = P.token_counts(reps.select("residues", F.lit(0).alias("side")))[0]
+    size = reps.agg(F.sum(F.length("residues"))).first()[0] or 0
+    return {0: np.where(counts <= 1, P.FREE, np.where(counts == 2, P.RARE, P.FREQUENT)).astype(np.uint8)}, size
 
 
 def near_pairs(reps: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """Pairs of distinct sequences whose window sets have a Jaccard similarity of at least ``threshold``.
 
     ``reps``: id (long, unique) and residues (A-Z only); it is read several times, so it should be a stored table.
-    Method: token-combination prefixes (``signatures``). Signatures go to buckets as packed arrays; in a bucket,
-    records sharing a two-token combination meet where at most CROWD share it. Single tokens serve records with few
-    windows. All records of more crowded combinations are searched again among themselves by combinations of three
-    tokens in ROUNDS hashings of their own (``crowd_signatures``), where every combination is followed however many
-    share it. A pair is a candidate with two meetings in a search, or one of a single token; candidates are then
-    verified exactly on the whole sequences.
+    Method: token-combination prefixes (``prefixes``). The windows are counted over all records; those of one record
+    need no list, those of two are listed alone, frequent ones in combinations of two inside their class. Prefixes are
+    long enough for every pair over the threshold to meet, so none is missed, and every candidate is verified exactly
+    on the whole sequences. Lists travel as packed arrays; pairs leave a list as they arise, and a long list is cut
+    into slices that are paired in other tasks.
+    Defined results: texts without a window have no pair; equal texts should be folded before. Output: id_a < id_b, similarity.
+    """
+    tiers, size = token_tiers(reps)
+    return verify_pairs(P.candidates(record_table(reps), tiers, threshold, "all", size), reps, reps, threshold)
+
 
-    The prefixes are taken from hashed classes, so a pair can be missed. A pair that shares no crowded combination is
-    missed if under two of its CLASSES neighbouring pairs of classes agree; any other pair has both records in the
-    second search, and is missed only if, in addition, under two of its ROUNDS * CLASSES neighbouring triples agree. Neighbours
-    share classes, so the chance is that of runs in circles of CLASSES draws of chance s, simulated (2,000,000 circles):
-    at similarity 0.5 1.5e-5 for the first search and 1.2e-6 for the second, at 0.55 3e-6 and 9e-9. It doesn't depend on the size of a
-    crowd. Borrowed prefixes make the draws of records with few windows less independent than that (no figure for them); pairs in
-    which the smaller record has under SHORT windows are never missed. No group of records is cut or sampled.
-    Output: id_a < id_b, similarity.
+def near_classes(reps: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """node, component (least id) of every record that has a partner in ``near_pairs``, without forming all pairs of a group.
+
+    First each record of a list is compared only with the list's first one, which joins most of a group. Then lists are
+    formed again and only records that are still in different components are compared; no pair that could join two
+    components is left out, so the components are those of all pairs.
     """
-    return verify_pairs(candidate_pairs(reps, threshold), reps, reps, threshold)
+    tiers, size = token_tiers(reps)
+    stars = verify_pairs(P.candidates(record_table(reps), tiers, threshold, "star", size), reps, reps, threshold)
+    stars = materialize(stars.select(F.col("id_a").alias("u"), F.col("id_b").alias("v")), "stars")
+    known = components(stars)
+    marked = reps.join(known, F.col("id") == F.col("node"), "left").select("id", "residues", F.coalesce("component", "id").alias("_l"))
+    marked = materialize(record_table(marked, F.col("_l")), "marked")
+    rest = verify_pairs(P.candidates(marked, tiers, threshold, "across", size), reps, reps, threshold)
+    rest = materialize(rest.select(F.col("id_a").alias("u"), F.col("id_b").alias("v")), "rest")
+    return known if rest.isEmpty() else components(stars.union(rest))
 
 
 def verify_pairs(candidates: DataFrame, left: DataFrame, right: DataFrame, threshold: float) -> DataFrame:
@@ -214,17 +93,12 @@ def representatives(df: DataFrame, id_col: str, text: F.Column, name: str) -> tu
 TABLES = {"dataset_info": "sequence", "dms_cosent": "sentence_0"}
 
 
-def similar_rows(spark: SparkSession, sf_dir: str, name: str, threshold: float = THRESHOLD) -> tuple[DataFrame, DataFrame]:
-    """Membership (id, rep) and pairs between representatives of one table, both stored."""
-    reps, members = representatives(table(spark, sf_dir, name), "row_id", residues(TABLES[name]), name)
-    return materialize(members, "members"), materialize(near_pairs(reps, threshold), "pairs")
-
-
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pairs of rows of one table with half of their windows in common, copies included."""
     out = None
     for name in TABLES:
-        members, pairs = similar_rows(spark, sf_dir, name)
+        reps, members = representatives(table(spark, sf_dir, name), "row_id", residues(TABLES[name]), name)
+        members, pairs = materialize(members, "members"), materialize(near_pairs(reps), "pairs")
         m1 = members.select(F.col("id").alias("x"), F.col("rep").alias("rx"))
         m2 = members.select(F.col("id").alias("y"), F.col("rep").alias("ry"))
         apart = pairs.join(m1, F.col("id_a") == F.col("rx")).join(m2, F.col("id_b") == F.col("ry")).select("x", "y")
@@ -235,17 +109,14 @@ def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p4_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One row for each row with a window: its class (least row_id of the connected group), links and copies."""
+    """One row for each row with a window: its class (least row_id of the connected group) and the copies of its text."""
     out = None
     for name in TABLES:
-        members, pairs = similar_rows(spark, sf_dir, name)
-        of = components(pairs.select(F.col("id_a").alias("u"), F.col("id_b").alias("v"))).select("node", F.col("component").alias("c"))
+        reps, members = representatives(table(spark, sf_dir, name), "row_id", residues(TABLES[name]), name)
+        of = near_classes(reps).select("node", F.col("component").alias("c"))
         copies = members.groupBy("rep").agg(F.count(F.lit(1)).alias("copies")).select(F.col("rep").alias("r2"), "copies")
-        ends = pairs.select(F.col("id_a").alias("node2")).union(pairs.select("id_b")).groupBy("node2").agg(F.count(F.lit(1)).alias("links"))
-        part = (
-            members.join(of, F.col("rep") == F.col("node"), "left").join(copies, F.col("rep") == F.col("r2")).join(ends, F.col("rep") == F.col("node2"), "left")
-            .select(F.lit(name).alias("table_name"), F.col("id").alias("row_id"), F.coalesce("c", "rep").alias("class_id"), F.coalesce("links", F.lit(0)).alias("links"), "copies")
-        )
+        part = members.join(of, F.col("rep") == F.col("node"), "left").join(copies, F.col("rep") == F.col("r2")).select(
+            F.lit(name).alias("table_name"), F.col("id").alias("row_id"), F.coalesce("c", "rep").alias("class_id"), "copies")
         out = part if out is None else out.union(part)
     return out
 

@@ -1,0 +1,451 @@
+"""Exact set-similarity candidates by token-combination prefixes; shared by the joins of problems 4 and 6.
+
+A record is the set of its windows (tokens). Tokens stand in one global order: rare ones first, then frequent ones,
+which fall into classes by hash. A rare token is indexed alone, frequent ones in combinations of two of one class.
+Two records of Jaccard similarity t have at least t / (1 + t) of both sizes in common, so a record of n tokens misses at
+most a known number m of them in any partner of a given size range. Walking down the global order, every rare token
+and every token of a class but its first is worth one point; the prefix ends when m + 1 points are reached. If two
+records shared no rare token and no combination inside the prefix that ends first, each class would hold at most one
+shared token and that record would miss m + 1 tokens: a contradiction. So every pair over the threshold meets.
+
+How many classes are best depends on the sizes, and both records of a pair must use the same. Records therefore sort
+into octaves of size, and a pair of octaves (a level) has its own classes; a record takes part in the levels of its
+own octave and of those that a partner may have. A record whose tokens do not reach m + 1 points gives all its
+combinations: it still meets every partner that does reach them. Pairs of two such records are searched
+again among themselves with half the classes, and so on; with one class every record reaches its points.
+"""
+
+from __future__ import annotations
+
+import math
+from collections.abc import Iterator
+from functools import lru_cache
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from helixframe.llm import kernels as K
+from helixframe.util import materialize
+
+UNIVERSE = 26**K.WINDOW
+#: Token tiers: held by no other record (worth a point, needs no list), rare (listed alone), frequent (in combinations).
+FREE, RARE, FREQUENT = 0, 1, 2
+#: How many standard deviations of points the number of classes leaves as a margin.
+MARGIN = 2.0
+#: Records a packed row covers (bits of their local numbers), bits of a key kept beside it, bits of the bins between.
+LOCAL, LOW, BINS = 13, 19, 12
+#: List entries a bucket is meant to hold, pairs of a block, and records of a list from which it is cut into slices.
+BUCKET, BLOCK, SLICE = 700_000, 1_000_000, 1024
+CHUNKS = 16
+
+MET = "id_a long, id_b long, kind int, left binary, right binary"
+PAIR, SHORT_A, SHORT_B, SLICES = 0, 1, 2, 3
+
+
+def missing(n: np.ndarray, octave: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray]:
+    """Whether a record of n tokens can have a partner in a size octave, and the most tokens it misses in one."""
+    low = np.maximum(1 << np.maximum(octave, 0), np.ceil(threshold * n - 1e-9).astype(np.int64))
+    high = np.minimum((2 << np.maximum(octave, 0)) - 1, np.floor(n / threshold + 1e-9).astype(np.int64))
+    common = np.ceil(threshold / (1 + threshold) * (n + low) - 1e-9).astype(np.int64)
+    return (octave >= 0) & (low <= high), n - common
+
+
+@lru_cache(maxsize=8)
+def classes(threshold: float) -> np.ndarray:
+    """Classes of the level of octaves (o, o + d) at [o, d]; 0: the smaller octave has so few tokens that all are listed alone."""
+    far = math.ceil(math.log2(1 / threshold))
+    out = np.zeros((25, far + 1), np.int64)
+    for o in range(2, 25):
+        for d in range(far + 1):
+            sizes = []
+            for own, other in ((o, o + d), (o + d, o)):
+                n = np.unique(np.linspace(1 << own, (2 << own) - 1, 9).astype(np.int64))
+                ok, miss = missing(n, np.full(len(n), other), threshold)
+                sizes += list(zip(n[ok].tolist(), (miss[ok] + 1).tolist()))
+            low, high = 1, 2 << (o + d)
+            while low < high:
+                c = (low + high + 1) // 2
+                enough = all(
+                    n - c * (1 - (1 - 1 / c) ** n) - MARGIN * math.sqrt(c * math.exp(-n / c) * max(0.0, 1 - (1 + n / c) * math.exp(-n / c))) >= need
+                    for n, need in sizes)
+                low, high = (c, high) if enough else (low, c - 1)
+            out[o, d] = low
+    return out
+
+
+def signatures(off: np.ndarray, data: np.ndarray, tier: np.ndarray, threshold: float, shrink: int = 0) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Record and key of each single token and combination of the records' prefixes; the records that fell short of points."""
+    n_rec = len(off) - 1
+    rec, code = K.codes(off, data, K.WINDOW)
+    h = K.mix32(code).astype(np.int64)
+    key = K.unique((rec << 34) | (tier[code].astype(np.int64) << 32) | h)
+    rec, kind, h = key >> 34, (key >> 32) & 3, key & 0xFFFFFFFF
+    n = np.bincount(rec, minlength=n_rec)
+    octave = np.where(n > 0, np.log2(np.maximum(n, 1)).astype(np.int64), -1)
+    first = np.r_[0, np.cumsum(n)][:-1][rec] if len(rec) else np.zeros(0, np.int64)
+    table = classes(threshold)
+    out_rec, out_key, short = [], [], np.zeros(n_rec, bool)
+    follows = np.zeros(len(rec), bool)
+    follows[1:] = (rec[1:] == rec[:-1]) & (kind[:-1] == FREQUENT)
+    for d in range(1 - table.shape[1], table.shape[1]):
+        other = octave + d
+        active, miss = missing(n, other, threshold)
+        active &= n > 0
+        if not active.any():
+            continue
+        least = np.maximum(np.minimum(octave, other), 0)
+        c = table[least, abs(d)]
+        c = np.where(c > 0, np.maximum(c >> shrink, 1), 0)
+        level = ((least * 8 + abs(d) + 1) << 8) + shrink
+        alone = (c == 0)[rec]
+        cls = (h * c[rec]) >> 32
+        same = follows & ~alone
+        same[1:] &= cls[1:] == cls[:-1]
+        points = same | (kind != FREQUENT) | alone
+        run = np.cumsum(points)
+        before = run - points - (run[first] - points[first])
+        inside = active[rec] & (before <= miss[rec])
+        total = np.bincount(rec, points, minlength=n_rec)
+        short |= active & (total <= miss)
+        salt = K.mix64(level.astype(np.uint64))
+        one = np.flatnonzero(inside & ((kind == RARE) | (alone & (kind != FREE))))
+        out_rec.append(rec[one])
+        out_key.append(K.mix64(h[one].astype(np.uint64) ^ salt[rec[one]]))
+        at, back = np.flatnonzero(inside & same), 1
+        while len(at):
+            out_rec.append(rec[at])
+            out_key.append(K.mix64(((h[at - back].astype(np.uint64) << np.uint64(32)) | h[at].astype(np.uint64)) ^ salt[rec[at]]))
+            at = at[same[at - back]]
+            back += 1
+    if not out_rec:
+        return np.zeros(0, np.int64), np.zeros(0, np.uint64), short
+    return np.concatenate(out_rec), np.concatenate(out_key), short
+
+
+def token_counts(records: DataFrame, sides: int = 1) -> list[np.ndarray]:
+    """Records that hold each possible window, counted up to 3, over all of ``records``: residues, side (int), one table a side.
+
+    The windows of five letters are a fixed set of 11.9 million, so a table has 3 MB, two bits a window, whatever the
+    data; each task sends its own in CHUNKS pieces, which are added up piece by piece as they arrive.
+    """
+    per = -(-UNIVERSE // (4 * CHUNKS)) * 4
+
+    def pack(x: np.ndarray) -> bytes:
+        x = x.reshape(-1, 4)
+        return (x[:, 0] | (x[:, 1] << 2) | (x[:, 2] << 4) | (x[:, 3] << 6)).tobytes()
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen = np.zeros((sides, per * CHUNKS), np.uint8)
+        met = np.zeros(sides, bool)
+        for b in (p for big in batches for p in K.steps(big)):
+            rec, code = K.codes(*K.text_bytes(b.column(0)), K.WINDOW)
+            side = b.column(1).to_numpy().astype(np.int64)
+            key = K.unique((side[rec] << 50) | (rec << 24) | code)
+            own = np.sort((key >> 50 << 24) | (key & 0xFFFFFF))
+            at = K.first_of(own)
+            s, w = own[at] >> 24, own[at] & 0xFFFFFF
+            seen[s, w] = np.minimum(3, seen[s, w] + np.minimum(3, np.diff(np.r_[at, len(own)]))).astype(np.uint8)
+            met[side] = True
+        for s in np.flatnonzero(met).tolist():
+            for c in range(CHUNKS):
+                yield pa.RecordBatch.from_arrays([pa.array([s * CHUNKS + c], pa.int32()), pa.array([pack(seen[s, c * per : (c + 1) * per])], pa.binary())], ["chunk", "n"])
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total, chunk = np.zeros(per, np.uint8), 0
+        for b in batches:
+            for c, x in zip(b.column(0).to_pylist(), b.column(1)):
+                packed, chunk = np.frombuffer(x.as_buffer(), np.uint8), c
+                total = np.minimum(3, total + np.stack([(packed >> s) & 3 for s in (0, 2, 4, 6)], 1).ravel())
+        yield pa.RecordBatch.from_arrays([pa.array([chunk], pa.int32()), pa.array([pack(total)], pa.binary())], ["chunk", "n"])
+
+    out = [np.zeros(per * CHUNKS, np.uint8) for _ in range(sides)]
+    for r in records.select("residues", "side").mapInArrow(count, "chunk int, n binary").groupBy("chunk").applyInArrow(add, "chunk int, n binary").toLocalIterator():
+        packed, c = np.frombuffer(r["n"], np.uint8), r["chunk"] % CHUNKS
+        out[r["chunk"] // CHUNKS][c * per : (c + 1) * per] = np.stack([(packed >> s) & 3 for s in (0, 2, 4, 6)], 1).ravel()
+    return out
+
+
+def two_bits(tier: np.ndarray) -> bytes:
+    x = np.r_[tier, np.zeros(-len(tier) % 4, np.uint8)].astype(np.uint8).reshape(-1, 4)
+    return (x[:, 0] | (x[:, 1] << 2) | (x[:, 2] << 4) | (x[:, 3] << 6)).tobytes()
+
+
+def from_two_bits(b: bytes) -> np.ndarray:
+    x = np.frombuffer(b, np.uint8)
+    return np.stack([(x >> s) & 3 for s in (0, 2, 4, 6)], 1).ravel()
+
+
+LISTS = "bucket int, side int, ids binary, labels binary, counts binary, entries binary"
+
+
+def _narrow(x: np.ndarray) -> np.ndarray:
+    """The same numbers in as few bytes as they need."""
+    top = int(x.max()) if len(x) else 0
+    return x.astype(np.uint8 if top < 1 << 8 else np.uint16 if top < 1 << 16 else np.uint32 if top < 1 << 32 else np.uint64)
+
+
+def pack_lists(ids: np.ndarray, labels: np.ndarray | None, rec: np.ndarray, key: np.ndarray, side: int, bits: int) -> Iterator[pa.RecordBatch]:
+    """List entries of at most 2^LOCAL records as one row for each bucket met: 4 bytes an entry and some bytes a record.
+
+    Entries are sorted by key; the leading bits are the bucket, the next ones come as counts of bins, the rest stands
+    with the record's local number in 4 bytes. Buckets of few entries carry their keys in 8 bytes instead.
+    """
+    order = np.argsort(ids, kind="stable")
+    place = np.empty(len(ids), np.int64)
+    place[order] = np.arange(len(ids))
+    ids = ids[order]
+    head = np.array([ids[0], 0], np.int64)
+    gaps = _narrow(np.diff(ids))
+    head[1] = gaps.itemsize
+    who = head.tobytes() + gaps.tobytes()
+    marks = labels[order].tobytes() if labels is not None else b""
+    v = np.sort(((key >> np.uint64(64 - bits - BINS - LOW)) << np.uint64(LOCAL)) | place[rec].astype(np.uint64))
+    bucket = (v >> np.uint64(BINS + LOW + LOCAL)).astype(np.int64)
+    starts = K.first_of(bucket)
+    rows = []
+    for s, e in zip(starts.tolist(), [*starts[1:].tolist(), len(v)]):
+        part = v[s:e] & np.uint64((1 << (BINS + LOW + LOCAL)) - 1)
+        if e - s < 1 << (BINS - 1):
+            counts, entries = b"", part.tobytes()
+        else:
+            counts = _narrow(np.bincount((part >> np.uint64(LOW + LOCAL)).astype(np.int64), minlength=1 << BINS))
+            counts, entries = bytes([counts.itemsize]) + counts.tobytes(), (part & np.uint64(0xFFFFFFFF)).astype(np.uint32).tobytes()
+        rows.append((int(bucket[s]), counts, entries))
+    for i in range(0, len(rows), 64):
+        p = rows[i : i + 64]
+        yield pa.RecordBatch.from_arrays(
+            [pa.array([r[0] for r in p], pa.int32()), pa.array([side] * len(p), pa.int32()), pa.array([who] * len(p), pa.binary()), pa.array([marks] * len(p), pa.binary()),
+             pa.array([r[1] for r in p], pa.binary()), pa.array([r[2] for r in p], pa.binary())], ["bucket", "side", "ids", "labels", "counts", "entries"])
+
+
+def unpack_list(who: bytes, counts: bytes, entries: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Ids of the records; key and local number of each entry of a packed row."""
+    head = np.frombuffer(who[:16], np.int64)
+    gaps = np.frombuffer(who[16:], f"<u{head[1]}").astype(np.int64)
+    ids = head[0] + np.r_[0, np.cumsum(gaps)]
+    if counts:
+        e = np.frombuffer(entries, np.uint32).astype(np.uint64)
+        n = np.frombuffer(counts[1:], f"<u{counts[0]}").astype(np.int64)
+        e = e | (np.repeat(np.arange(len(n), dtype=np.uint64), n) << np.uint64(32))
+    else:
+        e = np.frombuffer(entries, np.uint64)
+    return ids, e >> np.uint64(LOCAL), (e & np.uint64((1 << LOCAL) - 1)).astype(np.int64)
+
+
+def blocks(left: np.ndarray, low: np.ndarray, high: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs (left[i], j) for all j in [low[i], high[i]), in blocks of about BLOCK pairs; nothing is left out."""
+    n = np.maximum(high - low, 0)
+    keep = n > 0
+    left, low, n = left[keep], low[keep], n[keep]
+    total, i = np.r_[0, np.cumsum(n)], 0
+    while i < len(n):
+        j = max(i + 1, int(np.searchsorted(total, total[i] + BLOCK, "right")) - 1)
+        row = np.repeat(np.arange(i, j), n[i:j])
+        yield left[row], low[row] + np.arange(len(row)) - (total[row] - total[i])
+        i = j
+
+
+def _rows(a, b, kind) -> pa.RecordBatch:
+    none = pa.nulls(len(a), pa.binary())
+    return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(np.full(len(a), kind, np.int32)), none, none], ["id_a", "id_b", "kind", "left", "right"])
+
+
+def _pairs(a: np.ndarray, b: np.ndarray, ordered: bool) -> pa.RecordBatch:
+    if ordered:
+        a, b = np.minimum(a, b), np.maximum(a, b)
+        ok = a != b
+        a, b = a[ok], b[ok]
+    a, b, _ = K.unique_pairs(a, b)
+    return _rows(a, b, PAIR)
+
+
+def _slices(left: list[bytes], right: list[bytes]) -> pa.RecordBatch:
+    n = pa.nulls(len(left), pa.int64())
+    return pa.RecordBatch.from_arrays([n, n, pa.array(np.full(len(left), SLICES, np.int32)), pa.array(left, pa.binary()), pa.array(right, pa.binary())], ["id_a", "id_b", "kind", "left", "right"])
+
+
+def matcher(mode: str):
+    """Pairs met in the lists of one bucket, streamed as they arise.
+
+    ``all``: every two records of a list; ``across``: those of different labels; ``star``: each with the list's first
+    record; ``sides``: each of side 0 with each of side 1. A list of more than SLICE records on a side is not paired
+    here: its slices are sent on two by two, so that other tasks pair them.
+    """
+
+    def match(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        all_ids, all_labels, keys, recs, sides, base = [], [], [], [], [], 0
+        for b in batches:
+            for bucket, side, who, marks, counts, entries in zip(*(b.column(i).to_pylist() for i in range(6))):
+                head = np.frombuffer(who[:16], np.int64)
+                if bucket < 0:
+                    ids = head[0] + np.r_[0, np.cumsum(np.frombuffer(who[16:], f"<u{head[1]}").astype(np.int64))]
+                    yield _rows(ids, ids, SHORT_A if side == 0 else SHORT_B)
+                    continue
+                ids, key, local = unpack_list(who, counts, entries)
+                all_ids.append(ids)
+                all_labels.append(np.frombuffer(marks, np.int64) if marks else ids)
+                keys.append(key)
+                recs.append(local + base)
+                sides.append(np.full(len(ids), side, np.int8))
+                base += len(ids)
+        if not keys:
+            return
+        ids, label, side = np.concatenate(all_ids), np.concatenate(all_labels), np.concatenate(sides)
+        v = np.sort((np.concatenate(keys) << np.uint64(31)) | np.concatenate(recs).astype(np.uint64))
+        key, rec = v >> np.uint64(31), (v & np.uint64((1 << 31) - 1)).astype(np.int64)
+        del v, keys, recs
+        starts = K.first_of(key)
+        size = np.diff(np.r_[starts, len(key)])
+        many = np.repeat(size > 1, size)
+        rec, size = rec[many], size[size > 1]
+        if not len(rec):
+            return
+        starts = np.cumsum(size) - size
+        run = np.repeat(np.arange(len(size)), size)
+        who = ids[rec]
+        end = starts + size
+        if mode == "star":
+            for i, j in blocks(starts, starts + 1, end):
+                yield _pairs(who[i], who[j], True)
+            return
+        group = {"all": np.zeros(len(rec), np.int64), "across": label[rec], "sides": side[rec].astype(np.int64)}[mode]
+        if mode != "all":
+            o = np.lexsort((group, run))
+            who, group = who[o], group[o]
+            change = np.flatnonzero(np.r_[True, (run[1:] != run[:-1]) | (group[1:] != group[:-1])])
+            low = np.repeat(np.r_[change[1:], len(who)], np.diff(np.r_[change, len(who)]))
+        else:
+            low = np.arange(1, len(who) + 1)
+        high = end[run]
+        hot = size > SLICE
+        cold = ~hot[run]
+        for i, j in blocks(np.flatnonzero(cold), low[cold], high[cold]):
+            yield _pairs(who[i], who[j], mode != "sides")
+        for x in np.flatnonzero(hot).tolist():
+            s, e = int(starts[x]), int(end[x])
+            left, right = [], []
+            for i in range(s, e, SLICE):
+                mine = slice(i, min(e, i + SLICE))
+                for j in range(i, e, SLICE):
+                    other = slice(j, min(e, j + SLICE))
+                    if mode != "all" and group[mine][0] == group[other][-1]:
+                        continue
+                    pack = lambda p: np.concatenate([who[p], group[p]]).tobytes()
+                    left.append(pack(mine))
+                    right.append(pack(other))
+                    if len(left) == 64:
+                        yield _slices(left, right)
+                        left, right = [], []
+            if left:
+                yield _slices(left, right)
+
+    return match
+
+
+def expand(mode: str):
+    """The pairs of two slices of one list."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for x, y in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                (a, ga), (c, gc) = (np.frombuffer(z, np.int64).reshape(2, -1) for z in (x, y))
+                i, j = np.repeat(np.arange(len(a)), len(c)), np.tile(np.arange(len(c)), len(a))
+                if mode != "all":
+                    ok = ga[i] < gc[j]
+                    i, j = i[ok], j[ok]
+                out = _pairs(a[i], c[j], mode != "sides")
+                yield out.select(["id_a", "id_b"])
+
+    return run
+
+
+def meet(records: DataFrame, tier: dict[int, np.ndarray], threshold: float, mode: str, size: int, shrink: int = 0, keep=None) -> DataFrame:
+    """Rows of MET: pairs that share a single token or combination of their prefixes, and the records short of points.
+
+    ``records``: id, residues, side (0 or 1), scope (string or null), label (long or null), stored. A record of side 0
+    meets those of its scope and those of the scope ``*``; with one side scopes are not looked at.
+    ``size``: about the number of tokens of all records. ``keep``: which keys of side 1 can meet any of side 0.
+    """
+    bits = min(20, max(2, math.ceil(math.log2(max(1, 1.8 * size / BUCKET)))))
+    tables = records.sparkSession.sparkContext.broadcast({s: two_bits(t) for s, t in tier.items()})
+    labelled = mode == "across"
+
+    def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tiers = {s: from_two_bits(t) for s, t in tables.value.items()}
+        held = {s: [] for s in tiers}
+        count = dict.fromkeys(tiers, 0)
+
+        def flush(s: int) -> Iterator[pa.RecordBatch]:
+            parts, held[s] = held[s], []
+            ids = np.concatenate([p[0] for p in parts])
+            base = np.r_[0, np.cumsum([len(p[0]) for p in parts])]
+            rec, key = np.concatenate([p[2] + k for p, k in zip(parts, base)]), np.concatenate([p[3] for p in parts])
+            short = np.concatenate([p[4] for p in parts])
+            count[s] = 0
+            if len(key):
+                yield from pack_lists(ids, np.concatenate([p[1] for p in parts]) if labelled else None, rec, key, s, bits)
+            if short.any():
+                who = np.sort(ids[short])
+                gaps = _narrow(np.diff(who))
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([-1 - int(who[0]) % (1 << bits)], pa.int32()), pa.array([s], pa.int32()), pa.array([np.array([who[0], gaps.itemsize], np.int64).tobytes() + gaps.tobytes()], pa.binary()),
+                     *[pa.array([b""], pa.binary())] * 3], ["bucket", "side", "ids", "labels", "counts", "entries"])
+
+        for big in batches:
+            for b in K.steps(big):
+                sides = b.column(2).to_numpy()
+                for s in np.unique(sides).tolist():
+                    p = b.filter(pa.array(sides == s)) if len(tiers) > 1 else b
+                    rec, key, short = signatures(*K.text_bytes(p.column(1)), tiers[s], threshold, shrink)
+                    if len(tiers) > 1:
+                        scope = scope_codes(p.column(3))
+                        own = K.mix64(key ^ scope[rec])
+                        if s == 0:
+                            rec, key = np.tile(rec, 2), np.r_[own, K.mix64(key ^ scope_codes(pa.array(["*"]))[0])]
+                        else:
+                            ok = keep(own) if keep else np.ones(len(own), bool)
+                            rec, key = rec[ok], own[ok]
+                    held[s].append((p.column(0).to_numpy(), p.column(4).to_numpy(zero_copy_only=False) if labelled else None, rec, key, short))
+                    count[s] += p.num_rows
+                    if count[s] + K.STEP > 1 << LOCAL:
+                        yield from flush(s)
+        for s in held:
+            if held[s]:
+                yield from flush(s)
+
+    lists = records.select("id", "residues", "side", "scope", "label").mapInArrow(emit, LISTS)
+    return lists.groupBy("bucket").applyInArrow(matcher(mode), MET)
+
+
+def scope_codes(col: pa.Array) -> np.ndarray:
+    """A 64-bit code of each scope name, the same in every task."""
+    d = col.dictionary_encode()
+    codes = [K.mix64(np.array([int.from_bytes(x.encode(), "little") % ((1 << 61) - 1)]))[0] for x in d.dictionary.to_pylist()]
+    return np.array(codes, np.uint64)[d.indices.to_numpy()]
+
+
+def candidates(records: DataFrame, tier: dict[int, np.ndarray], threshold: float, mode: str, size: int, keep=None) -> DataFrame:
+    """Distinct pairs (id_a, id_b) that ``meet``, with the pairs of records short of points searched again, stored.
+
+    For the mode ``sides`` id_a is of side 0 and id_b of side 1, else id_a < id_b.
+    """
+    parts, shrink, few = [], 0, records
+    while True:
+        met = materialize(meet(few, tier, threshold, mode, size, shrink, None if shrink else keep), "met")
+        parts.append(met.where(F.col("kind") == PAIR).select("id_a", "id_b"))
+        slices = met.where(F.col("kind") == SLICES).select("left", "right")
+        kinds = {r["kind"] for r in met.select("kind").distinct().collect()}
+        if SLICES in kinds:
+            spread = slices.repartition(records.sparkSession.sparkContext.defaultParallelism * 4)
+            parts.append(spread.mapInArrow(expand(mode), "id_a long, id_b long"))
+        if not kinds & {SHORT_A, SHORT_B}:
+            break
+        short = met.where(F.col("kind").isin(SHORT_A, SHORT_B)).select(F.col("id_a").alias("_i"), (F.col("kind") - SHORT_A).alias("_s"))
+        few = materialize(few.join(short, (F.col("id") == F.col("_i")) & (F.col("side") == F.col("_s")), "left_semi"), "short")
+        shrink += 1
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.union(p)
+    return out.distinct()
