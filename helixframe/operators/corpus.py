@@ -11,10 +11,10 @@ from helixframe.util import materialize
 
 # Accepted spellings of the canonical columns.
 ALIASES = {
-    "sequence": ("seq", "primary", "protein_sequence", "text"),
-    "family_id": ("family", "pfam_id", "fam"),
+    "sequence": ("seq", "sequence_aa", "aa_seq"),
+    "cluster_id": ("ur50_id", "uniref50_id", "repId", "RepId"),
+    "family_id": ("family",),
     "clan_id": ("clan",),
-    "cluster_id": ("cluster",),
 }
 
 

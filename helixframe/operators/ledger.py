@@ -25,6 +25,23 @@ EXPERIMENT_ORDER = ("baseline", "mlm_only", "jepa_masked_l1", "jepa_all_position
 EPSILON = 1e-12
 
 
+# Display names of experiments that are not the capitalised name.
+EXPERIMENT_NAMES = {
+    "baseline": "Baseline",
+    "mlm_only": "MLM Only",
+    "jepa_masked_l1": "JEPA Masked L1",
+    "jepa_all_position": "JEPA All Position",
+    "jepa_global_pool": "JEPA Global Pool",
+    "jepa_cls": "JEPA CLS",
+    "jepa_hybrid": "JEPA Hybrid",
+}
+
+
+def display_name(c: str) -> Column:
+    """LED8: the fixed display name of an experiment, else its name capitalised."""
+    return reduce(lambda acc, kv: F.when(F.col(c) == kv[0], F.lit(kv[1])).otherwise(acc), EXPERIMENT_NAMES.items(), title(c))
+
+
 def q(c: str) -> Column:
     return F.col(f"`{c}`")
 
@@ -189,7 +206,7 @@ def experiment_order(df: DataFrame, experiment: str, explicit: list[str] | None
     if baseline:
         names = names.where(F.col(experiment) != baseline)
     w = Window.orderBy(ranked(F.col(experiment), tuple(explicit or EXPERIMENT_ORDER)), experiment)
-    return names.select(experiment, title(experiment).alias("label"), F.row_number().over(w).alias("place"))
+    return names.select(experiment, display_name(experiment).alias("label"), F.row_number().over(w).alias("place"))
 
 
 def pivot_mean(df: DataFrame, row: str, column: str, value: str, names: list[str], fill: float | None = 0.0) -> DataFrame:
@@ -292,9 +309,9 @@ def markdown(df: DataFrame, limit: int = 200) -> str:
 def slide_text(tasks: DataFrame, summary: DataFrame, experiment: str, heading: str) -> DataFrame:
     """LED12 / SRT5: numbered lines of a short report: best mean change, most wins, three largest gains and losses."""
     by = lambda *o: summary.orderBy(*o).limit(1)
-    head = by(F.desc("mean_delta"), experiment).select(F.lit(2).alias("n"), F.format_string("- Best mean change: %s (%+.2f%% across %d tasks).", title(experiment), "mean_delta", "tasks").alias("line"))
-    wins = by(F.desc("wins"), experiment).select(F.lit(3).alias("n"), F.format_string("- Most task wins: %s (%d wins).", title(experiment), "wins").alias("line"))
-    item = F.format_string("- %s / %s: %+.2f%%", title(experiment), "Task", "RelativeDeltaPct").alias("line")
+    head = by(F.desc("mean_delta"), experiment).select(F.lit(2).alias("n"), F.format_string("- Best mean change: %s (%+.2f%% across %d tasks).", display_name(experiment), "mean_delta", "tasks").alias("line"))
+    wins = by(F.desc("wins"), experiment).select(F.lit(3).alias("n"), F.format_string("- Most task wins: %s (%d wins).", display_name(experiment), "wins").alias("line"))
+    item = F.format_string("- %s / %s: %+.2f%%", display_name(experiment), "Task", "RelativeDeltaPct").alias("line")
 
     def three(order, at):
         top = tasks.orderBy(order, "Task", experiment).limit(3)

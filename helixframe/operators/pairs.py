@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from helixframe.functions.portable import hash_cap
+from helixframe.functions.portable import hash_cap, nan_to_null
 from helixframe.operators.sampling import sample_per_group
 from helixframe.util import materialize
 
@@ -69,8 +69,8 @@ def self_pairs(df: DataFrame, seq: str, key: str, max_rows: int = 0, seed: int =
 
 
 def scored_pairs(df: DataFrame, key: str, max_rows: int = 0) -> DataFrame:
-    """TRN4: the first rows by key with the three columns only."""
-    out = df.select(key, "sentence_0", "sentence_1", "score")
+    """TRN4: the first rows by key with the three columns only; a NaN score is null."""
+    out = df.select(key, "sentence_0", "sentence_1", nan_to_null("score").alias("score"))
     return out.orderBy(key).limit(max_rows) if max_rows > 0 else out
 
 
@@ -108,6 +108,25 @@ def interleave(df: DataFrame, source: str, key: str, batch: int, seed: int = 42)
     return j.select(source, key, "batch_id", (F.col("batch_id") * F.col("_s") + F.col("_k")).alias("turn"))
 
 
+def proportional(df: DataFrame, source: str, key: str, batch: int, seed: int = 42) -> DataFrame:
+    """TRN9: batches of all sources spread evenly over the epoch: batch_id inside the source and turn over all.
+
+    Every source gives all its full batches; the b-th of n stands at the share (b + 1/2) / n of the epoch, ties by
+    source, so a source comes up in proportion to its rows. Null sources are left out.
+    """
+    from helixframe.functions.portable import stable_hash
+    from helixframe.operators.corpus import indexed
+    from helixframe.operators.running import running
+
+    one = df.where(F.col(source).isNotNull()).select(source, key, stable_hash(seed, key).alias("_h")).withColumn("__one", F.lit(1))
+    dealt = running(one, [source], ["_h", key], {"_at": "__one"}).withColumn("batch_id", F.floor((F.col("_at") - 1) / batch))
+    full = dealt.groupBy(F.col(source).alias("_s"), F.col("batch_id").alias("_b")).agg(F.count(F.lit(1)).alias("_c")).where(F.col("_c") == batch)
+    many = full.groupBy(F.col("_s").alias("_z")).agg(F.count(F.lit(1)).alias("_n"))
+    share = full.join(many, F.col("_s") == F.col("_z")).select("_s", "_b", F.round((F.col("_b") + 0.5) / F.col("_n"), 12).alias("_share"))
+    turn = indexed(share, ["_share", "_s", "_b"], "turn").select("_s", "_b", "turn")
+    return dealt.join(turn, (F.col(source) == F.col("_s")) & (F.col("batch_id") == F.col("_b"))).select(source, key, "batch_id", "turn")
+
+
 def distinct_batches(df: DataFrame, text: str, key: str, batch: int, seed: int = 42) -> DataFrame:
     """TRN9: full batches in which no text repeats: key, batch_id.
 

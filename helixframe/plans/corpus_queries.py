@@ -88,7 +88,7 @@ def flt14_finite_scores(s, d):
     return T(s, d, "dms_cosent").where(P.finite("score")).select("row_id", "score")
 
 
-@query("SELECT vec_id, list_transform(vector, lambda x: CASE WHEN isnan(x) THEN 0 ELSE x END) AS v FROM sequence_vectors WHERE len(vector) = 63")
+@query("SELECT vec_id, list_transform(vector, lambda x: CASE WHEN isnan(x) THEN 0 ELSE x END) AS v FROM sequence_vectors")
 def flt17_nan_to_zero(s, d):
     v = F.transform("vector", lambda x: F.when(F.isnan(x), F.lit(0.0).cast("float")).otherwise(x))
     return T(s, d, "sequence_vectors").select("vec_id", v.alias("v"))
@@ -96,8 +96,8 @@ def flt17_nan_to_zero(s, d):
 
 @query(f"WITH {PF} SELECT row_id AS corpus_id, seq AS sequence, fam AS family_id FROM pf")
 def prj1_aliases(s, d):
-    raw = pf(s, d).select(F.col("row_id").alias("corpus_id"), F.col("seq"), F.col("fam"))
-    return C.normalize_columns(raw, {"sequence": ("primary", "seq"), "family_id": ("family", "fam")})
+    raw = pf(s, d).select(F.col("row_id").alias("corpus_id"), F.col("seq").alias("aa_seq"), F.col("fam").alias("family"))
+    return C.normalize_columns(raw)
 
 
 @query(f"WITH {PF} SELECT row_id, coalesce(clan_id, fam) AS clan_id, coalesce(clan_id, fam) || '/' || fam AS group_id FROM pf WHERE fam IS NOT NULL")
@@ -229,7 +229,7 @@ def agg6_score_statistics(s, d):
     return dms(s, d).agg(F.count("score").alias("n"), F.min("score").alias("least"), F.max("score").alias("greatest"), F.round(F.avg("score"), 6).alias("mean"), F.round(F.stddev_samp("score"), 6).alias("std"))
 
 
-@query(f"WITH {TDP} SELECT dms_id, list(mutant ORDER BY row_id) AS members, list(row_id ORDER BY row_id) AS ids FROM tdp WHERE mutant <> '' AND dms_id IN (SELECT dms_id FROM tdp GROUP BY 1 HAVING count(*) <= 50) GROUP BY 1")
+@query(f"WITH {TDP} SELECT dms_id, slice, list(mutant ORDER BY row_id) AS members, list(row_id ORDER BY row_id) AS ids FROM (SELECT *, CAST(floor((row_number() OVER (PARTITION BY dms_id ORDER BY row_id) - 1) / {MEMBERS}.0) AS BIGINT) AS slice FROM tdp WHERE mutant <> '' AND dms_id IS NOT NULL) GROUP BY 1, 2")
 def agg7_member_lists(s, d):
     # Every group has all its members, in numbered slices of MEMBERS, so that no list grows with its group.
     t = group_place(tdp(s, d).where("mutant <> '' and dms_id is not null").select("row_id", "dms_id", "mutant"), "dms_id", "row_id")
@@ -254,9 +254,10 @@ def srt1_hierarchical_sort(s, d):
     return C.indexed(o, ["clan_id", "fam", "row_id"], "place").select("row_id", (F.col("place") + 1).alias("place"))
 
 
-@query("SELECT l_returnflag, l_linestatus, l_quantity FROM (SELECT DISTINCT l_returnflag, l_linestatus, l_quantity FROM lineitem) ORDER BY l_returnflag, l_quantity DESC, l_linestatus LIMIT 40")
+@query("SELECT l_returnflag, l_linestatus, l_quantity, row_number() OVER (ORDER BY l_returnflag, l_quantity DESC, l_linestatus) AS place FROM (SELECT DISTINCT l_returnflag, l_linestatus, l_quantity FROM lineitem)")
 def srt2_mixed_order(s, d):
-    return T(s, d, "lineitem").select("l_returnflag", "l_linestatus", "l_quantity").distinct().orderBy("l_returnflag", F.desc("l_quantity"), "l_linestatus").limit(40)
+    keys = T(s, d, "lineitem").select("l_returnflag", "l_linestatus", "l_quantity").distinct().withColumn("_down", -F.col("l_quantity"))
+    return C.indexed(keys, ["l_returnflag", "_down", "l_linestatus"], "place").select("l_returnflag", "l_linestatus", "l_quantity", (F.col("place") + 1).alias("place"))
 
 
 @query(f"WITH {DMS} SELECT DISTINCT s0 AS sequence FROM dms WHERE s0 <> '' UNION SELECT s1 FROM dms WHERE s1 <> ''")

@@ -56,7 +56,7 @@ def clu3_benchmark_removal(s, d):
     return CL.remove_benchmark(corpus, bench, "id", "seq").select("id")
 
 
-_PROFILE = f"""{PF}, c AS (SELECT fam, i - 1 AS pos, seq[i] AS aa FROM (SELECT fam, seq, unnest(generate_series(1, least(length(seq), 200))) AS i FROM pf WHERE fam IS NOT NULL AND seq IS NOT NULL)),
+_PROFILE = f"""{PF}, c AS (SELECT fam, i - 1 AS pos, seq[i] AS aa FROM (SELECT fam, seq, unnest(generate_series(1, length(seq))) AS i FROM pf WHERE fam IS NOT NULL AND seq IS NOT NULL)),
 k AS (SELECT fam, pos, aa, count(*) AS n FROM c WHERE contains('ACDEFGHIKLMNPQRSTVWY', aa) GROUP BY ALL), t AS (SELECT fam, pos, sum(n) AS t FROM k GROUP BY ALL), a AS (SELECT unnest(string_split('ACDEFGHIKLMNPQRSTVWY', '')) AS aa),
 p AS (SELECT t.fam, t.pos, a.aa, log2((coalesce(n, 0) + 0.5) / (t.t + 10.0)) - log2(0.05) AS lo FROM t CROSS JOIN a LEFT JOIN k ON k.fam = t.fam AND k.pos = t.pos AND k.aa = a.aa)"""
 

@@ -21,6 +21,11 @@ def query(sql: str | None):
     return add
 
 
+def significant(c: str):
+    """Eight significant digits as text: relative changes against a baseline of 0 are divided by the floor and are huge."""
+    return F.format_string("%.7e", F.col(c) + F.lit(0.0))
+
+
 def led(s, d):
     e = T(s, d, "events")
     u, i = F.col("user_id"), F.col("event_id")
@@ -81,11 +86,11 @@ def fn_identity_label(s, d):
     return L.latest(led(s, d), ["Model"]).select("ord", L.identity_label().alias("label"))
 
 
-@query(f"WITH {_LED}, {_latest()}, {_CMP} SELECT {_ID}, metric, a AS baseline, b AS trained, round(CASE WHEN metric = 'MSE' THEN -1 ELSE 1 END * 100 * (b - a) / greatest(abs(a), 1e-12), 4) + 0.0 AS delta FROM p WHERE abs(a) > 0")
+@query(f"WITH {_LED}, {_latest()}, {_CMP} SELECT {_ID}, metric, a AS baseline, b AS trained, printf('%.7e', CASE WHEN metric = 'MSE' THEN -1 ELSE 1 END * 100 * (b - a) / greatest(abs(a), 1e-12) + 0.0) AS delta FROM p")
 def led5_relative_table(s, d):
     x = L.latest(led(s, d), ["Model"])
-    r = L.relative_table(x.where("Model = 'm0'"), x.where("Model = 'm1'"), METRICS).where("abs(baseline) > 0")
-    return r.select(*L.IDENTITY, "metric", "baseline", "trained", (F.round("RelativeDeltaPct", 4) + F.lit(0.0)).alias("delta"))
+    r = L.relative_table(x.where("Model = 'm0'"), x.where("Model = 'm1'"), METRICS)
+    return r.select(*L.IDENTITY, "metric", "baseline", "trained", significant("RelativeDeltaPct").alias("delta"))
 
 
 _MS = f"""{_latest('Model, seed')}, x AS ({_long()}), g AS (SELECT {_ID}, Model, metric, o, avg(value) AS mean, coalesce(stddev_pop(value), 0) AS std, count(*) AS n FROM x GROUP BY ALL),
@@ -97,16 +102,16 @@ def _multi(s, d):
     return L.multi_seed_relative(L.latest(led(s, d), ["Model", "seed"]), "Model", "m0", METRICS)
 
 
-@query(f"WITH {_LED}, {_MS} SELECT {_ID}, Model, metric, n, round(base, 6) AS baseline_mean, round(mean, 6) AS mean, round(std, 6) AS std, round(delta, 3) AS delta FROM m WHERE base > 0.01")
+@query(f"WITH {_LED}, {_MS} SELECT {_ID}, Model, metric, n, round(base, 6) AS baseline_mean, round(mean, 6) AS mean, round(std, 6) AS std, printf('%.7e', delta + 0.0) AS delta FROM m")
 def led6_multi_seed(s, d):
-    r = _multi(s, d).where("baseline_mean > 0.01")
-    return r.select(*L.IDENTITY, "Model", "metric", "n", F.round("baseline_mean", 6).alias("baseline_mean"), F.round("mean", 6).alias("mean"), F.round("std", 6).alias("std"), F.round("RelativeDeltaPct", 3).alias("delta"))
+    r = _multi(s, d)
+    return r.select(*L.IDENTITY, "Model", "metric", "n", F.round("baseline_mean", 6).alias("baseline_mean"), F.round("mean", 6).alias("mean"), F.round("std", 6).alias("std"), significant("RelativeDeltaPct").alias("delta"))
 
 
-@query(f"WITH {_LED}, {_MS}, k AS (SELECT * FROM m WHERE base > 0.01), w AS (SELECT Model, count(*) AS wins FROM (SELECT Model, row_number() OVER (PARTITION BY {_ID} ORDER BY delta DESC, Model) AS r FROM k) WHERE r = 1 GROUP BY 1) SELECT Model, round(avg(delta), 3) AS mean_delta, round(median(delta), 3) AS median_delta, round(stddev_pop(delta), 3) AS std_delta, count(*) AS tasks, count_if(delta > 0) AS improved, count_if(delta < 0) AS worse, max(coalesce(wins, 0)) AS wins FROM k LEFT JOIN w USING (Model) GROUP BY 1")
+@query(f"WITH {_LED}, {_MS}, k AS (SELECT * FROM m), w AS (SELECT Model, count(*) AS wins FROM (SELECT Model, row_number() OVER (PARTITION BY {_ID} ORDER BY delta DESC, Model) AS r FROM k) WHERE r = 1 GROUP BY 1) SELECT Model, printf('%.7e', avg(delta) + 0.0) AS mean_delta, printf('%.7e', median(delta) + 0.0) AS median_delta, printf('%.7e', stddev_pop(delta) + 0.0) AS std_delta, count(*) AS tasks, count_if(delta > 0) AS improved, count_if(delta < 0) AS worse, max(coalesce(wins, 0)) AS wins FROM k LEFT JOIN w USING (Model) GROUP BY 1")
 def led7_experiment_summary(s, d):
-    r = L.experiment_summary(_multi(s, d).where("baseline_mean > 0.01"), "Model")
-    return r.select("Model", *[F.round(c, 3).alias(c) for c in ("mean_delta", "median_delta", "std_delta")], "tasks", "improved", "worse", "wins")
+    r = L.experiment_summary(_multi(s, d), "Model")
+    return r.select("Model", *[significant(c).alias(c) for c in ("mean_delta", "median_delta", "std_delta")], "tasks", "improved", "worse", "wins")
 
 
 @query("SELECT Model, upper(Model[1]) || Model[2:] AS label, row_number() OVER (ORDER BY CASE Model WHEN 'm2' THEN 0 WHEN 'm1' THEN 1 ELSE 2 END, Model) AS place FROM (SELECT DISTINCT 'm' || (user_id % 3) AS Model FROM events) WHERE Model IN ('m1', 'm2')")
@@ -132,22 +137,22 @@ def led10_heatmap(s, d):
     return p.select("Model", *[F.round(m, 6).alias(m) for m in METRICS], place, F.round(F.greatest(F.max("_t").over(Window.partitionBy()), F.lit(1.0)), 6).alias("abs_max"))
 
 
-@query(f"WITH {_LED}, {_MS} SELECT CASE WHEN Task LIKE '%0' THEN 'Binary' WHEN Task LIKE '%1' THEN 'Multiclass' WHEN Task LIKE '%4' THEN 'Regression' ELSE 'Other' END AS \"Group\", round(avg(delta), 3) AS mean_delta, round(median(delta), 3) AS median_delta, count(*) AS tasks FROM m WHERE base > 0.01 GROUP BY 1")
+@query(f"WITH {_LED}, {_MS} SELECT CASE WHEN Task LIKE '%0' THEN 'Binary' WHEN Task LIKE '%1' THEN 'Multiclass' WHEN Task LIKE '%4' THEN 'Regression' ELSE 'Other' END AS \"Group\", printf('%.7e', avg(delta) + 0.0) AS mean_delta, printf('%.7e', median(delta) + 0.0) AS median_delta, count(*) AS tasks FROM m GROUP BY 1")
 def led11_group_summary(s, d):
     t = led(s, d).select(F.col("Task").alias("name")).distinct().withColumn("problem_type", F.when(F.col("name").endswith("0"), "binary").when(F.col("name").endswith("1"), "multiclass").when(F.col("name").endswith("4"), "regression").otherwise("odd"))
-    r = L.group_summary(L.with_groups(_multi(s, d).where("baseline_mean > 0.01"), t))
-    return r.select("Group", F.round("mean_delta", 3).alias("mean_delta"), F.round("median_delta", 3).alias("median_delta"), "tasks")
+    r = L.group_summary(L.with_groups(_multi(s, d), t))
+    return r.select("Group", significant("mean_delta").alias("mean_delta"), significant("median_delta").alias("median_delta"), "tasks")
 
 
 @query(None)
 def led12_slide_text(s, d):
-    m = _multi(s, d).where("baseline_mean > 0.01")
+    m = _multi(s, d)
     return L.slide_text(m, L.experiment_summary(m, "Model"), "Model", "Ablation summary")
 
 
-@query(f"WITH {_LED} SELECT Model, ord, MSE AS loss FROM l WHERE Model IN ('m1', 'm2') AND MSE IS NOT NULL AND MSE < 0.05 ORDER BY loss, ord")
+@query(f"WITH {_LED} SELECT Model, ord, MSE AS loss FROM l WHERE Model IN ('m1', 'm2') AND MSE IS NOT NULL ORDER BY loss, ord")
 def led13_loss_summary(s, d):
-    return led(s, d).where(F.col("Model").isin("m1", "m2") & (F.col("MSE") < 0.05)).select("Model", "ord", F.col("MSE").alias("loss")).orderBy("loss", "ord")
+    return led(s, d).where(F.col("Model").isin("m1", "m2") & F.col("MSE").isNotNull()).select("Model", "ord", F.col("MSE").alias("loss")).orderBy("loss", "ord")
 
 
 _ST = f"""{_latest()}, st AS (SELECT * FROM t WHERE Model <> 'm0'), b AS (SELECT * FROM t WHERE Model = 'm0'), j AS (SELECT st.Model, st.Task, st.Probe, st.EvalSplit, """ + ", ".join(f"st.{m}, b.{m} AS baseline_{m}, st.{m} - b.{m} AS delta_{m}" for m in METRICS) + """ FROM st JOIN b ON st.Task = b.Task AND st.Probe = b.Probe AND st.EvalSplit = b.EvalSplit)"""

@@ -76,7 +76,7 @@ def jn23_latest_row(s, d):
     return T(s, d, "dataset_info").where("released_at is not null").groupBy("dataset").agg(F.max_by("row_id", F.struct("released_at", "row_id")).alias("latest"))
 
 
-@query("SELECT o_custkey, list_transform(generate_series(1, len(k) - 1), lambda i: k[i + 1] - k[i]) AS gaps FROM (SELECT o_custkey, list(o_orderkey ORDER BY o_orderkey) AS k FROM orders WHERE o_custkey % 10 > 0 GROUP BY 1) WHERE len(k) > 1")
+@query("SELECT o_custkey, list_transform(generate_series(1, len(k) - 1), lambda i: k[i + 1] - k[i]) AS gaps FROM (SELECT o_custkey, list(o_orderkey ORDER BY o_orderkey) AS k FROM orders GROUP BY 1) WHERE len(k) > 1")
 def win14_adjacent_gaps(s, d):
     k = T(s, d, "orders").groupBy("o_custkey").agg(F.collect_list("o_orderkey").alias("k")).where("size(k) > 1")
     return k.select("o_custkey", C.adjacent_gaps(F.col("k")).alias("gaps"))

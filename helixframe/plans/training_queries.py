@@ -66,7 +66,7 @@ def jn8_forbidden_pairs(s, d):
     return A.forbid_pairs(f.select("row_id", F.col("mutant").alias("sentence_0"), F.col("target").alias("sentence_1")), bad, ["sentence_0", "sentence_1"])
 
 
-@query(f"WITH {TDP}, t AS (SELECT * FROM tdp WHERE dms_id IN (SELECT dms_id FROM tdp GROUP BY 1 HAVING count(*) <= 20)) SELECT a.dms_id, a.row_id AS left_id, b.row_id AS right_id, round(abs(a.score - b.score), 6) AS gap FROM t a JOIN t b ON a.dms_id = b.dms_id AND a.row_id < b.row_id")
+@query(f"WITH {TDP}, t AS (SELECT * FROM tdp WHERE dms_id IS NOT NULL) SELECT a.dms_id, a.row_id AS left_id, b.row_id AS right_id, round(abs(a.score - b.score), 6) AS gap FROM t a JOIN t b ON a.dms_id = b.dms_id AND a.row_id < b.row_id")
 def jn18_pairs_inside(s, d):
     return A.pairs_inside(tdp(s, d), "dms_id", "score", "row_id").select("dms_id", "left_id", "right_id", F.round(F.abs(F.col("left") - F.col("right")), 6).alias("gap"))
 
@@ -183,7 +183,7 @@ def trn3_self_pairs(s, d):
     return TR.self_pairs(dms(s, d), "s0", "row_id", 1000)
 
 
-@query("SELECT row_id, sentence_0, sentence_1, score FROM dms_cosent ORDER BY row_id LIMIT 300")
+@query("SELECT row_id, sentence_0, sentence_1, CASE WHEN NOT isnan(score) THEN score END AS score FROM dms_cosent ORDER BY row_id LIMIT 300")
 def trn4_scored_pairs(s, d):
     return TR.scored_pairs(T(s, d, "dms_cosent"), "row_id", 300)
 

@@ -20,7 +20,9 @@ def rows(df):
 def test_aliases_first_wins(spark):
     df = spark.createDataFrame([(1, 2)], "seq int, primary int")
     assert C.normalize_columns(df, {"sequence": ("primary", "seq")}).columns == ["seq", "sequence"]
-    assert C.normalize_columns(df.withColumnRenamed("seq", "sequence")).columns == ["sequence", "primary"]
+    assert C.normalize_columns(df.withColumnRenamed("seq", "sequence").withColumnRenamed("primary", "aa_seq")).columns == ["sequence", "aa_seq"]
+    spelled = spark.createDataFrame([(1, 2, 3, 4)], "aa_seq int, uniref50_id int, family int, clan int")
+    assert C.normalize_columns(spelled).columns == ["sequence", "cluster_id", "family_id", "clan_id"]
     with pytest.raises(ValueError, match="missing"):
         C.require_columns(df, ["seq", "label"])
     assert C.resolve(["Seq", "label"], ["sequence", "seq"]) == "Seq"
