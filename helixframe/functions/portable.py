@@ -55,6 +55,17 @@ def class_label(c: Column | str) -> Column:
     return F.coalesce(c.try_cast("double").cast("bigint").cast("string"), c)
 
 
+def number_or_first(c: Column | str) -> Column:
+    """A regression target: the text as a number, else the first entry of a list written as text, else null."""
+    c = F.col(c) if isinstance(c, str) else c
+    return F.coalesce(c.try_cast("double"), F.try_element_at(multilabel(c), F.lit(1)).try_cast("double"))
+
+
+def distinct_in_order(c: Column | str) -> Column:
+    """SET6: a list without repeats, each value at its first place."""
+    return F.array_distinct(F.col(c) if isinstance(c, str) else c)
+
+
 def title(c: Column | str) -> Column:
     """Display name: underscores to spaces, words capitalised."""
     c = F.col(c) if isinstance(c, str) else c

@@ -99,6 +99,33 @@ def macro(per_group: DataFrame, metric: str = "metric") -> DataFrame:
     return per_group.agg(F.avg(m).alias("macro_mean"), F.count(m).alias("groups"))
 
 
+def evaluate(train: DataFrame, test: DataFrame, problem: str, label: str = "label", k: int = 3, key: str = "id", vector: str = "v") -> DataFrame:
+    """PRB9: a task's vectors through the probe and the metrics of its problem type: problem, metric, value.
+
+    binary, multiclass: nearest-neighbour votes, Accuracy and F1 (macro); regression: neighbour means, Spearman and
+    MSE; retrieval: Recall@1, 10 and 30 of the test rows among themselves; multilabel: the label array of the nearest
+    training row, subset accuracy and F1 (macro and micro). An unknown type is an error.
+    """
+    truth = test.select(F.col(key).alias("_q"), F.col(label).alias("_y"))
+    if problem in ("binary", "multiclass"):
+        j = knn_votes(train, test, label, k, key, vector).join(truth, F.col("query_id") == F.col("_q"))
+        f = M.f1_scores(j, "_y", "guess").select(F.col("f1_macro").alias("F1"))
+        row = j.agg(M.accuracy("_y", "guess").alias("Accuracy")).crossJoin(f)
+    elif problem == "regression":
+        j = knn_means(train, test, label, k, key, vector).join(truth, F.col("query_id") == F.col("_q"))
+        s = M.spearman(j.withColumn("_g", F.lit(1)), "guess", "_y", ["_g"]).select(F.col("spearman").alias("Spearman"))
+        row = j.agg(M.mse("_y", "guess").alias("MSE")).crossJoin(s)
+    elif problem == "retrieval":
+        row = M.recall_at(block_neighbours(test, test, 30, key, vector), test, [1, 10, 30], key, label)
+    elif problem == "multilabel":
+        n = block_neighbours(test, train, 1, key, vector, "euclidean")
+        j = n.join(train.select(F.col(key).alias("_t"), F.col(label).alias("guess")), F.col("other_id") == F.col("_t")).join(truth, F.col("query_id") == F.col("_q"))
+        row = M.multilabel_scores(j, "_y", "guess")
+    else:
+        raise ValueError(f"unknown problem type {problem!r}")
+    return row.select(F.explode(F.array(*[F.struct(F.lit(problem).alias("problem"), F.lit(c).alias("metric"), F.col(c).cast("double").alias("value")) for c in row.columns])).alias("x")).select("x.*")
+
+
 def assay_ridge(df: DataFrame, group: str, item: str, vector: str, score: str, dim: int, alpha: float = 1.0) -> DataFrame:
     """PRB7: one ridge model an assay on its training rows, Spearman on its test rows: group, n, spearman.
 

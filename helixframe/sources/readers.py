@@ -2,15 +2,15 @@
 
 from __future__ import annotations
 
-import glob as _glob
 import math
-import os
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from helixframe.sources import files
+
 AMINO = "ACDEFGHIKLMNPQRSTVWY"
 # Background frequencies of the residues in the order above, as published with HMMER 3.
 BACKGROUND = (
@@ -23,7 +23,7 @@ def shards(spark: SparkSession, paths: list[str], columns: dict[str, str]) -> Da
     """SRC1: Parquet shards with projection and alias (new name -> column); reading stops before the first missing shard."""
     have = []
     for p in paths:
-        if not os.path.exists(p.removeprefix("file://")) and "://" not in p:
+        if not files.exists(p):
             break
         have.append(p)
     if not have:
@@ -116,26 +116,34 @@ def profiles(spark: SparkSession, path: str) -> DataFrame:
 def first_existing(candidates: list[str]) -> str:
     """SRC10 / SRC11: the first of several places that exists; the error names all."""
     for c in candidates:
-        if os.path.exists(c):
+        if files.exists(c):
             return c
     raise FileNotFoundError("none of: " + ", ".join(candidates))
 
 
-def expand_paths(files: list[str], data_dir: str) -> list[str]:
+def first_loaded(loaders: list[Callable[[], DataFrame]]) -> DataFrame:
+    """SRC11: the table of the first loader that works (saved folder, named set, second try); the error names all."""
+    errors = []
+    for load in loaders:
+        try:
+            df = load()
+            df.schema  # noqa: B018 - a missing path shows here at the latest
+            return df
+        except Exception as e:  # noqa: BLE001 - every kind of failure means the next place
+            errors.append(str(e).split("\n")[0])
+    raise FileNotFoundError("nothing could be loaded: " + " | ".join(errors))
+
+
+def expand_paths(names: list[str], data_dir: str) -> list[str]:
     """SRC18: folders become their sorted Parquet files, patterns their matches, other names are tried below ``data_dir``.
 
     All names that lead nowhere are collected before the error is raised; a folder without Parquet files is an error.
     """
     out, bad = [], []
-    for f in files:
+    for f in names:
         found: list[str] = []
-        for p in (f, os.path.join(data_dir, f)):
-            if os.path.isdir(p):
-                found = sorted(_glob.glob(os.path.join(p, "*.parquet")))
-            elif os.path.isfile(p):
-                found = [p]
-            else:
-                found = sorted(_glob.glob(p))
+        for p in (f, f"{data_dir.rstrip('/')}/{f}" if data_dir else f):
+            found = files.matches(f"{p.rstrip('/')}/*.parquet") if files.is_folder(p) else files.matches(p)
             if found:
                 break
         out += found
@@ -148,14 +156,14 @@ def expand_paths(files: list[str], data_dir: str) -> list[str]:
 
 def latest_result(name: str, output_dir: str) -> str | None:
     """SRC19: a CSV file by its path, else the newest in a folder, else the newest below ``output_dir`` named for a model."""
-    if os.path.isfile(name):
-        return name
-    if os.path.isdir(name):
-        found = _glob.glob(os.path.join(name, "*.csv"))
+    if files.exists(name):
+        if not files.is_folder(name):
+            return name
+        found = files.matches(f"{name.rstrip('/')}/*.csv")
     else:
         safe = name.replace("/", "_").replace("\\", "_")
-        found = [p for pattern in (f"{safe}.csv", f"*{safe}*.csv") for p in _glob.glob(os.path.join(output_dir, pattern))]
-    return max(found, key=os.path.getmtime) if found else None
+        found = [p for pattern in (f"{safe}.csv", f"*{safe}*.csv") for p in files.matches(f"{output_dir.rstrip('/')}/{pattern}")]
+    return max(found, key=lambda p: (files.stamp(p)[1], p)) if found else None
 
 
 def results(spark: SparkSession, paths: str | list[str], numbers: list[str]) -> DataFrame:

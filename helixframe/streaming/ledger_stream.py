@@ -2,19 +2,22 @@
 
 from __future__ import annotations
 
-import os
-import shutil
-
 from pyspark.sql import DataFrame
 from pyspark.sql.streaming import StreamingQuery
 
 from helixframe.operators.ledger import upsert
+from helixframe.sources import files
+
+
+def versions(path: str) -> list[str]:
+    """Folders of the versions of a ledger, oldest first."""
+    return sorted(files.matches(f"{path}/v*"), key=lambda v: int(v.rsplit("/v", 1)[1]))
 
 
 def current(path: str) -> str | None:
     """Folder of the newest complete version of a ledger."""
-    done = [d for d in (os.listdir(path) if os.path.isdir(path) else []) if d.startswith("v") and os.path.exists(f"{path}/{d}/_SUCCESS")]
-    return f"{path}/{max(done, key=lambda d: int(d[1:]))}" if done else None
+    done = [v for v in versions(path) if files.exists(f"{v}/_SUCCESS")]
+    return done[-1] if done else None
 
 
 def merge_stream(stream: DataFrame, path: str, keys: list[str], checkpoint: str, order: str = "ord", keep: int = 2) -> StreamingQuery:
@@ -27,12 +30,11 @@ def merge_stream(stream: DataFrame, path: str, keys: list[str], checkpoint: str,
     def merge(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
         target = f"{path}/v{number}"
-        if os.path.isdir(target):
-            shutil.rmtree(target)
+        files.delete(target)
         old = current(path)
         base = spark.read.parquet(old) if old else batch.limit(0)
         upsert(base, batch, keys, order).write.parquet(target)
-        for d in sorted((x for x in os.listdir(path) if x.startswith("v")), key=lambda d: int(d[1:]))[:-keep]:
-            shutil.rmtree(f"{path}/{d}")
+        for v in versions(path)[:-keep]:
+            files.delete(v)
 
     return stream.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

@@ -53,12 +53,18 @@ def _cleanup() -> None:
 atexit.register(_cleanup)
 
 
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new path in the shared folder, removed at the end of the session."""
+    path = f"{shared_dir(spark)}/helixframe/{name}-{uuid.uuid4().hex}"
+    _WRITTEN.append((spark, path))
+    return path
+
+
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Cut the lineage: write ``df`` to the shared folder and read it back, so that a lost executor loses nothing."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/helixframe/{name}-{uuid.uuid4().hex}"
+    path = scratch(spark, name)
     df.write.parquet(path)
-    _WRITTEN.append((spark, path))
     out = spark.read.schema(df.schema).parquet(path)
     out._helix_path = path
     return out

@@ -136,7 +136,7 @@ def test_profile_library(spark, tmp_path):
     assert abs(sum(R.BACKGROUND) - 1) < 1e-3
 
 
-def test_paths(tmp_path):
+def test_paths(spark, tmp_path):
     os.makedirs(f"{tmp_path}/d/sub")
     for n in ("b", "a"):
         open(f"{tmp_path}/d/sub/{n}.parquet", "w").close()
@@ -165,7 +165,7 @@ def test_sinks(spark, tmp_path):
         W.report(df, f"{tmp_path}/r.xls")
 
 
-def test_once(tmp_path):
+def test_once(spark, tmp_path):
     made = []
     make = lambda: (made.append(1), open(f"{tmp_path}/o", "w").close())
     src = f"{tmp_path}/in"
