@@ -47,30 +47,52 @@ def sentences(text: str | None) -> list[list[str]]:
 def word_rows(word: str) -> list[int]:
     """Rows of the embedding table of a word: its own and those of its parts with the word's ends marked."""
     marked = f"<{word}>"
-    parts = [marked[i : i + n] for n in PARTS for i in range(len(marked) - n + 1)][:64]
+    parts = [marked[i : i + n] for n in PARTS for i in range(len(marked) - n + 1)]
     return [xxhash.xxh32_intdigest(p) % ROWS for p in [word, *parts]]
 
 
-class Words:
-    """Numbers for words, with the rows of each."""
+class Examples:
+    """Sentences of one task as arrays: word numbers of each, the table rows of each word, the areas of each document."""
 
-    def __init__(self):
-        self.number: dict[str, int] = {}
-        self.rows: list[list[int]] = []
+    def __init__(self, rows: np.ndarray, row_n: np.ndarray, words: np.ndarray, word_n: np.ndarray, targets: np.ndarray):
+        self.rows, self.row_n, self.words, self.word_n, self.targets = rows, row_n, words, word_n, targets
+        self.row_at, self.word_at = np.cumsum(row_n) - row_n, np.cumsum(word_n) - word_n
 
-    def of(self, word: str) -> int:
-        n = self.number.get(word)
-        if n is None:
-            n = self.number[word] = len(self.rows)
-            self.rows.append(word_rows(word))
-        return n
+    @classmethod
+    def of(cls, texts: Iterator[tuple[str, np.ndarray]]) -> Examples:
+        number: dict[str, int] = {}
+        rows, row_n, words, word_n, targets = [], [], [], [], []
+        for text, y in texts:
+            for s in sentences(text):
+                for w in s:
+                    n = number.get(w)
+                    if n is None:
+                        n = number[w] = len(number)
+                        own = word_rows(w)
+                        rows += own
+                        row_n.append(len(own))
+                    words.append(n)
+                word_n.append(len(s))
+                targets.append(y)
+        return cls(np.array(rows, np.int32), np.array(row_n, np.int64), np.array(words, np.int32), np.array(word_n, np.int64), np.array(targets, np.uint8))
 
-    def vectors(self, table: np.ndarray, some: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Mean row of each of some words; and the rows with the word each stands in."""
-        n = np.array([len(self.rows[w]) for w in some.tolist()])
-        flat = np.fromiter((r for w in some.tolist() for r in self.rows[w]), np.int64, int(n.sum()))
-        at = np.cumsum(n) - n
-        return np.add.reduceat(table[flat], at, axis=0) / n[:, None], flat, np.repeat(np.arange(len(some)), n)
+    FIELDS = (("rows", np.int32), ("row_n", np.int64), ("words", np.int32), ("word_n", np.int64), ("targets", np.uint8))
+
+    def packed(self) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([getattr(self, f).tobytes()], pa.binary()) for f, _ in self.FIELDS], [f for f, _ in self.FIELDS])
+
+    @classmethod
+    def unpacked(cls, b: pa.RecordBatch, i: int, areas: int) -> Examples:
+        out = [np.frombuffer(b.column(k)[i].as_buffer(), t) for k, (_, t) in enumerate(cls.FIELDS)]
+        return cls(*out[:4], out[4].reshape(-1, areas))
+
+
+EXAMPLES = ", ".join(f"{f} binary" for f, _ in Examples.FIELDS)
+
+
+def spans(at: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """Positions of several runs, one after the other."""
+    return np.repeat(at - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
 
 
 def start_values(areas: int, seed: int = 5) -> np.ndarray:
@@ -86,31 +108,31 @@ def parts_of(p: np.ndarray, areas: int) -> tuple[np.ndarray, np.ndarray, np.ndar
     return p[:a].reshape(ROWS, WIDTH), p[a:b].reshape(WIDTH, areas), p[b:]
 
 
-def local_steps(p: np.ndarray, words: Words, sents: list[np.ndarray], targets: np.ndarray, areas: int, history: np.ndarray, seed: int) -> np.ndarray:
+def local_steps(p: np.ndarray, x: Examples, areas: int, history: np.ndarray, seed: int) -> np.ndarray:
     """EPOCHS passes of Adagrad over one task's sentences, from the common parameters; the change it would make."""
     mine, h = p.copy(), history.copy()
     e, w, b = parts_of(mine, areas)
     he, hw, hb = parts_of(h, areas)
-    order = np.concatenate([np.random.default_rng((seed, x)).permutation(len(sents)) for x in range(EPOCHS)])
+    order = np.concatenate([np.random.default_rng((seed, k)).permutation(len(x.word_n)) for k in range(EPOCHS)])
     for i in range(0, len(order), BATCH):
         pick = order[i : i + BATCH]
-        n = np.array([len(sents[s]) for s in pick])
-        flat = np.concatenate([sents[s] for s in pick])
-        some, at = np.unique(flat, return_inverse=True)
-        vec, rows, owner = words.vectors(e, some)
-        begin = np.cumsum(n) - n
-        x = np.add.reduceat(vec[at], begin, axis=0) / n[:, None]
-        err = 1 / (1 + np.exp(-np.clip(x @ w + b, -30, 30))) - targets[pick]
-        gx = (err @ w.T) / n[:, None]
-        gw, gb = x.T @ err, err.sum(0)
-        gvec = np.zeros_like(vec)
-        np.add.at(gvec, at, np.repeat(gx, n, axis=0))
-        gvec /= np.bincount(owner)[:, None]
+        n = x.word_n[pick]
+        some, at = np.unique(x.words[spans(x.word_at[pick], n)], return_inverse=True)
+        r = x.row_n[some]
+        rows, owner = x.rows[spans(x.row_at[some], r)], np.repeat(np.arange(len(some)), r)
+        vec = np.add.reduceat(e[rows], np.cumsum(r) - r, axis=0) / r[:, None].astype(np.float32)
+        mean = np.add.reduceat(vec[at], np.cumsum(n) - n, axis=0) / n[:, None].astype(np.float32)
+        err = (1 / (1 + np.exp(-np.clip(mean @ w + b, -30, 30))) - x.targets[pick]).astype(np.float32)
+        gx = (err @ w.T) / n[:, None].astype(np.float32)
+        gw, gb = mean.T @ err, err.sum(0)
+        o = np.argsort(at, kind="stable")
+        gvec = np.add.reduceat(np.repeat(gx, n, axis=0)[o], K.first_of(at[o]), axis=0) / r[:, None].astype(np.float32)
         o = np.argsort(rows, kind="stable")
         first = K.first_of(rows[o])
         ge, which = np.add.reduceat(gvec[owner[o]], first, axis=0), rows[o][first]
-        he[which] += ge**2
-        e[which] -= RATE * ge / np.sqrt(he[which] + 1e-6)
+        now = he[which] + ge**2
+        he[which] = now
+        e[which] -= RATE * ge / np.sqrt(now + 1e-6)
         hw += gw**2
         w -= RATE * gw / np.sqrt(hw + 1e-6)
         hb += gb**2
@@ -130,8 +152,8 @@ def fit(documents: DataFrame, labels: DataFrame, areas: list[str], sample: int =
     Every sentence of a labelled document is an example with the document's areas as independent yes/no targets; what
     is said in all areas alike ends at the base rate, so wrong labels and general sentences do not reach
     ``LEVEL``.
-    In each round every partition runs over its sentences from the common parameters and sends its summed gradient
-    steps, only for the rows it met; their mean makes the next common parameters. At most 8 partitions send at most
+    Texts are cut into sentences once; what is stored is one row of word numbers a partition, from which a lost task starts again. In each round every
+    partition runs over its sentences from the common parameters and sends its summed gradient steps, only for the rows it met; their mean makes the next common parameters. At most 8 partitions send at most
     6 MB each, whatever the corpus.
     """
     spark = documents.sparkSession
@@ -142,52 +164,57 @@ def fit(documents: DataFrame, labels: DataFrame, areas: list[str], sample: int =
         of_doc = of_doc.where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < int(1_000_000 * sample / n)).limit(sample)
     tasks = max(1, min(parallelism(spark), 8, n // 50 or 1))
     examples = documents.select("doc_id", "text").join(of_doc.withColumnRenamed("doc_id", "_d"), F.col("doc_id") == F.col("_d")).where(F.length("text") > 0)
-    examples = examples.select("text", "areas")
-    examples = materialize(examples, "examples").repartition(tasks).persist()
+    examples = materialize(examples.select("text", "areas"), "examples").repartition(tasks)
     k = len(areas)
+
+    def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def texts() -> Iterator[tuple[str, np.ndarray]]:
+            for b in batches:
+                for text, names in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                    y = np.zeros(k, np.uint8)
+                    y[[order[a] for a in names]] = 1
+                    yield text, y
+
+        x = Examples.of(texts())
+        if len(x.word_n):
+            yield x.packed()
+
+    examples = materialize(examples.mapInArrow(split, EXAMPLES), "sentences")
     prior = np.zeros(k)
     p, history = start_values(k), np.zeros(ROWS * WIDTH + WIDTH * k + k, np.float32)
     table_size = ROWS * WIDTH
-    try:
-        for turn in range(ROUNDS):
-            now = spark.sparkContext.broadcast((p, history))
-
-            def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-                p0, h0 = now.value
-                words, sents, targets = Words(), [], []
-                for b in batches:
-                    for text, names in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                        y = np.zeros(k, np.float32)
-                        y[[order[a] for a in names]] = 1
-                        for s in sentences(text):
-                            sents.append(np.array([words.of(w) for w in s]))
-                            targets.append(y)
-                if sents:
-                    change = local_steps(p0, words, sents, np.array(targets), k, h0, turn)
+    for turn in range(ROUNDS):
+        now = spark.sparkContext.broadcast((p, history))
+
+        def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            p0, h0 = now.value
+            for b in batches:
+                for i in range(b.num_rows):
+                    x = Examples.unpacked(b, i, k)
+                    change = local_steps(p0, x, k, h0, turn)
                     moved = change[:table_size].reshape(ROWS, WIDTH)
                     rows = np.flatnonzero(moved.any(axis=1)).astype(np.int32)
-                    yield pa.RecordBatch.from_arrays([pa.array([rows.tobytes()]), pa.array([moved[rows].tobytes()]), pa.array([change[table_size:].tobytes()]), pa.array([sum(targets).astype(np.float64).tobytes()]), pa.array([len(sents)])], ["rows", "moved", "rest", "under", "n"])
-
-            total, by = np.zeros_like(p), np.zeros(ROWS, np.float32)
-            parts, under, n_sents = 0, np.zeros(k), 0
-            for r in examples.select("text", "areas").mapInArrow(learn, "rows binary, moved binary, rest binary, under binary, n long").collect():
-                # A row's change is the mean over the partitions that changed it: rare words are not held back.
-                rows = np.frombuffer(r["rows"], np.int32)
-                total[:table_size].reshape(ROWS, WIDTH)[rows] += np.frombuffer(r["moved"], np.float32).reshape(-1, WIDTH)
-                by[rows] += 1
-                total[table_size:] += np.frombuffer(r["rest"], np.float32)
-                parts += 1
-                under += np.frombuffer(r["under"])
-                n_sents += r["n"]
-            now.destroy()
-            if not parts:
-                break
-            total[:table_size].reshape(ROWS, WIDTH)[:] /= np.maximum(by, 1)[:, None]
-            total[table_size:] /= parts
-            p, prior = p + total, under / n_sents
-            history = history + (total / RATE) ** 2
-    finally:
-        examples.unpersist()
+                    under = x.targets.sum(0, dtype=np.float64)
+                    yield pa.RecordBatch.from_arrays([pa.array([v.tobytes()], pa.binary()) for v in (rows, moved[rows], change[table_size:], under)] + [pa.array([len(x.word_n)])], ["rows", "moved", "rest", "under", "n"])
+
+        total, by = np.zeros_like(p), np.zeros(ROWS, np.float32)
+        parts, under, n_sents = 0, np.zeros(k), 0
+        for r in examples.mapInArrow(learn, "rows binary, moved binary, rest binary, under binary, n long").collect():
+            # A row's change is the mean over the partitions that changed it: rare words are not held back.
+            rows = np.frombuffer(r["rows"], np.int32)
+            total[:table_size].reshape(ROWS, WIDTH)[rows] += np.frombuffer(r["moved"], np.float32).reshape(-1, WIDTH)
+            by[rows] += 1
+            total[table_size:] += np.frombuffer(r["rest"], np.float32)
+            parts += 1
+            under += np.frombuffer(r["under"])
+            n_sents += r["n"]
+        now.destroy()
+        if not parts:
+            break
+        total[:table_size].reshape(ROWS, WIDTH)[:] /= np.maximum(by, 1)[:, None]
+        total[table_size:] /= parts
+        p, prior = p + total, under / n_sents
+        history = history + (total / RATE) ** 2
     return p, prior
 
 
