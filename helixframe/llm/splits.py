@@ -11,8 +11,8 @@ from helixframe.llm.ranks import salted_rank
 from helixframe.util import materialize, residues, strip, table
 
 SHARES = {"train": 0.8, "validation": 0.1, "test": 0.1}
-#: Component sizes up to this are bundled exactly, larger ones in steps of about 4 %.
-EXACT_SIZE = 512
+#: Labels a split can balance at most.
+LABELS = 64
 
 
 def allocate(size: np.ndarray, count: np.ndarray, label: np.ndarray, shares: list[float]) -> np.ndarray:
@@ -104,29 +104,30 @@ def allocate(size: np.ndarray, count: np.ndarray, label: np.ndarray, shares: lis
 def split_components(rows: DataFrame, component: str, label: F.Column, shares: dict[str, float] = SHARES, seed: int = 42) -> DataFrame:
     """Give every row the split of its component: the input's columns and ``split`` (one there before is replaced).
 
-    Components of the same size and label profile (share of each label in quarters) form a bundle; the number of
-    bundles is bounded by the size classes times the profiles, not by the rows, and only bundles reach the driver.
+    Components of identical size and label profile (share of each label in quarters) form a bundle; n rows have fewer
+    than 1.5 * sqrt(n) different component sizes, and only bundles, not components, reach the driver.
     ``allocate`` solves the quotas, and the members of a bundle go to its splits in the order of their hash.
     Rows of one component never part, so a component larger than a quota makes its split larger than asked.
-    ``label``: a column of few values. A null component is a component; an empty table gives no rows.
+    ``label``: a column of at most LABELS values, more are an error. A null component is a component; an empty table gives no rows.
     """
     names = list(shares)
     rows = rows.withColumn("__label", label.cast("string")).drop("split")
+    if rows.select("__label").distinct().limit(LABELS + 1).count() > LABELS:
+        raise ValueError(f"more than {LABELS} labels to balance")
     by_label = rows.groupBy(component, "__label").agg(F.count(F.lit(1)).alias("_c"))
     comps = by_label.groupBy(component).agg(
         F.sum("_c").alias("_size"),
         F.max(F.struct(F.col("_c"), F.col("__label"))).getField("__label").alias("_main"),
         F.sort_array(F.collect_list(F.struct("__label", "_c"))).alias("_profile"),
     )
-    step = F.when(F.col("_size") <= EXACT_SIZE, F.col("_size")).otherwise(EXACT_SIZE + F.floor(F.log2(F.col("_size") / EXACT_SIZE) * 16).cast("long"))
     quarters = F.array_join(F.transform("_profile", lambda x: F.concat(F.coalesce(x["__label"], F.lit("-")), F.lit(":"), F.round(x["_c"] * 4 / F.col("_size")).cast("int"))), ",")
-    comps = materialize(comps.select(component, "_size", "_main", step.alias("_step"), quarters.alias("_quarters")), "components")
-    bundles = comps.groupBy("_step", "_quarters", "_main").agg(F.count(F.lit(1)).alias("n"), F.avg("_size").alias("size")).orderBy("_step", "_quarters", "_main").collect()
+    comps = materialize(comps.select(component, F.col("_size").alias("_step"), "_main", quarters.alias("_quarters")), "components")
+    bundles = comps.groupBy("_step", "_quarters", "_main").agg(F.count(F.lit(1)).alias("n")).orderBy("_step", "_quarters", "_main").collect()
     if not bundles:
         return rows.drop("__label").withColumn("split", F.lit(None).cast("string"))
     number = {x: i for i, x in enumerate(sorted({r["_main"] or "" for r in bundles}))}
     whole = allocate(
-        np.array([r["size"] for r in bundles]), np.array([r["n"] for r in bundles]), np.array([number[r["_main"] or ""] for r in bundles]), list(shares.values())
+        np.array([r["_step"] for r in bundles]), np.array([r["n"] for r in bundles]), np.array([number[r["_main"] or ""] for r in bundles]), list(shares.values())
     )
     ends = np.cumsum(whole, axis=1)
     bounds = comps.sparkSession.createDataFrame(

@@ -98,3 +98,11 @@ def test_split_keeps_components(spark):
     assert abs(n["train"] - 0.8) < 0.02 and abs(n["test"] - 0.1) < 0.02
     empty = spark.createDataFrame([], "component string, x string")
     assert split_components(empty, "component", F.col("x")).collect() == []
+
+
+def test_components_of_texts_and_label_bound(spark):
+    e = spark.createDataFrame([("a", "b"), ("c", "b"), ("x", "y"), ("q", "q"), (None, "z")], "u string, v string")
+    assert {(r["node"], r["component"]) for r in components(e).collect()} == {("a", "a"), ("b", "a"), ("c", "a"), ("x", "x"), ("y", "x")}
+    many = spark.range(100).select("id", F.col("id").cast("string").alias("l"))
+    with pytest.raises(ValueError):
+        split_components(many, "id", F.col("l"))
