@@ -73,7 +73,7 @@ def stratified_folds(df: DataFrame, label: str, k: int, seed: int, *keys: str, n
 def named_split(available: list[str], wanted: str, aliases: dict[str, tuple[str, ...]] | None = None) -> str | None:
     """SMP10: split by exact name, then an alias, then as part of a name, all in lower case."""
     low = {a.lower(): a for a in available}
-    names = [wanted.lower(), *(aliases or {"validation": ("valid", "val", "dev")}).get(wanted.lower(), ())]
+    names = [wanted.lower(), *(aliases or {"validation": ("valid", "val", "dev", "eval")}).get(wanted.lower(), ())]
     return next((low[n] for n in names if n in low), None) or next((low[a] for n in names for a in low if n in a), None)
 
 

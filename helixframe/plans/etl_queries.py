@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.sql import functions as F
 
 from helixframe.functions.portable import sql_hash
@@ -91,7 +93,8 @@ def _prepared(s, d, wanted):
     rows = T(s, d, "dataset_info").select("row_id", "dataset", "split_name")
     out = None
     for t in TK.registry(T(s, d, "task_config")).values():
-        p = TK.prepare(rows, t, wanted)
+        # dataset_info has no column by the name that a task of task_config states, so its named splits are used.
+        p = TK.prepare(rows, replace(t, split_column=t.split_column if t.split_column in rows.columns else None), wanted)
         out = p if out is None else out.unionByName(p)
     return out
 
@@ -110,3 +113,52 @@ def smp11_prepared_validation(s, d):
 UNION ALL SELECT name, row_id, CASE WHEN row_number() OVER (PARTITION BY name ORDER BY {sql_hash(42, 'row_id')}, row_id) <= floor(count(*) OVER (PARTITION BY name) * 0.8) THEN 'train' ELSE 'eval' END, NULL, 'test_random_split' FROM c JOIN x USING (dataset) WHERE auto_split""")
 def smp11_prepared_test(s, d):
     return _prepared(s, d, "test")
+
+
+def _assay_task(s, d, wanted, **settings):
+    rows = T(s, d, "test_data_prep").select("row_id", "stage", F.lit("assays").alias("dataset"), F.lit("train").alias("split_name"))
+    return TK.prepare(rows, TK.Task(name="t", dataset="assays", label_col="DMS_score", **({"problem_type": "regression"} | settings)), wanted)
+
+
+_STAGE = "st AS (SELECT row_id, lower(trim(stage)) AS v FROM test_data_prep)"
+_PARTS = "CAST(NULL AS INTEGER) AS fold"
+
+
+@query(f"WITH {_STAGE} SELECT 't' AS task, row_id, CASE v WHEN 'train' THEN 'train' ELSE 'eval' END AS part, {_PARTS}, 'test_split_column' AS strategy FROM st WHERE v IN ('train', 'test')")
+def smp11_column_test(s, d):
+    return _assay_task(s, d, "test", split_column="stage")
+
+
+@query(f"WITH {_STAGE} SELECT 't' AS task, row_id, CASE v WHEN 'train' THEN 'train' ELSE 'eval' END AS part, {_PARTS}, 'validation_split_column' AS strategy FROM st WHERE v IN ('train', 'test')")
+def smp11_column_validation(s, d):
+    return _assay_task(s, d, "validation", split_column="stage", validation_column_values=("Test ",))
+
+
+@query(f"WITH {_STAGE} SELECT 't' AS task, row_id, 'cv' AS part, CAST((row_number() OVER (ORDER BY {sql_hash(42, 'row_id')}, row_id) - 1) % 4 AS INTEGER) AS fold, 'validation_cv4_train' AS strategy FROM st WHERE v = 'train'")
+def smp11_column_folds(s, d):
+    return _assay_task(s, d, "validation", split_column="stage", validation_column_values=("no such value",))
+
+
+@query(f"SELECT 't' AS task, row_id, 'eval' AS part, {_PARTS}, 'proteingym_unchanged' AS strategy FROM test_data_prep")
+def smp11_assay_mode(s, d):
+    return _assay_task(s, d, "test", eval_mode="proteingym_supervised", group_by="DMS_id")
+
+
+@query(f"SELECT 't' AS task, row_id, 'eval' AS part, {_PARTS}, 'retrieval_unchanged' AS strategy FROM test_data_prep")
+def smp11_retrieval(s, d):
+    return _assay_task(s, d, "validation", problem_type="retrieval")
+
+
+@query("SELECT o_orderkey, replace(o_orderpriority, ' ', '') AS seq, CASE o_orderstatus WHEN 'F' THEN 1.0 WHEN 'O' THEN 0.0 END AS y FROM orders")
+def smp11_task_labels(s, d):
+    task = TK.Task("t", "orders", "y", "regression", label_map={"F": 1.0, "O": 0.0}, remove_sequence_whitespace=True)
+    return TK.labelled(T(s, d, "orders").select("o_orderkey", F.col("o_orderpriority").alias("seq"), F.col("o_orderstatus").alias("y")), task, "seq")
+
+
+@query("""WITH x AS (SELECT row_id, CASE WHEN row_id % 5 > 0 THEN 'train' ELSE 'eval' END AS part, [dataset, coalesce(lower(trim(split_name)), 'none')] AS y FROM dataset_info),
+top AS (SELECT l FROM (SELECT unnest(y) AS l FROM x WHERE part = 'train') GROUP BY 1 ORDER BY count(*) DESC, l LIMIT 3) SELECT row_id, list_sort(list_distinct(list_filter(y, lambda l: list_contains(k, l)))) AS y FROM x, (SELECT list(l) AS k FROM top)""")
+def smp11_top_labels(s, d):
+    task = TK.Task("t", "x", "y", "multilabel", top_k_labels=3)
+    text = F.concat(F.lit("['"), "dataset", F.lit("', '"), F.coalesce(F.lower(F.trim("split_name")), F.lit("none")), F.lit("']"))
+    rows = T(s, d, "dataset_info").select("row_id", F.when(F.col("row_id") % 5 > 0, "train").otherwise("eval").alias("part"), text.alias("y"), F.lit("A").alias("seq"))
+    return TK.labelled(rows, task, "seq").select("row_id", F.sort_array("y").alias("y"))
