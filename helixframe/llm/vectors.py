@@ -13,11 +13,14 @@ from helixframe.llm import kernels as K
 from helixframe.util import materialize, table
 
 DIM, NEIGHBOURS = 64, 5
-#: Rows the coarse quantiser is fitted on at most, and the most lists it gets. Every row is indexed.
-SAMPLE, MAX_LISTS = 65_536, 4_096
+#: Rows the quantiser is fitted on at most (as few as SEEN for a small table); it gets about 2 * sqrt(rows) lists, at
+#: most an eighth of the rows it is fitted on. Every row is indexed.
+SAMPLE, SEEN = 262_144, 65_536
 PROBES = 24
 #: Members a cell may have; a longer list is cut into several cells, all of which are probed.
 CELL = 8_192
+#: Queries of a group that are meant to meet in one task call; more are dealt to slices, each with the group's members.
+VISITS = 400_000
 #: Cells of a group, which is scanned in one task call (bits of a mask).
 GROUP = 24
 #: Column blocks of the rotated vectors, and the width of the test by which candidates are abandoned.
@@ -47,7 +50,13 @@ def square_distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.maximum(d, 0, out=d)
 
 
-def nearest(x: np.ndarray, centres: np.ndarray, block: int = 4096) -> tuple[np.ndarray, np.ndarray]:
+def block_rows(centres: int) -> int:
+    """Rows whose distances to so many centres are held at a time."""
+    return max(64, 4_000_000 // max(1, centres))
+
+
+def nearest(x: np.ndarray, centres: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    block = block_rows(len(centres))
     lists, far = np.zeros(len(x), np.int64), np.zeros(len(x), np.float32)
     for i in range(0, len(x), block):
         d = square_distances(x[i : i + block], centres)
@@ -98,14 +107,15 @@ def best(query: np.ndarray, other: np.ndarray, dist: np.ndarray, k: int) -> tupl
     return query[keep], other[keep], dist[keep]
 
 
-def scan(q: np.ndarray, reach: np.ndarray, m: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def scan(q: np.ndarray, reach: np.ndarray, m: np.ndarray, epsilon: float = EPSILON) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Adaptive dimension scan of a cell: (query, member, squared distance) of what is not abandoned.
 
     After each column block the partial distance, scaled to all dimensions, is tested against the query's reach: the
-    candidate is given up when it exceeds reach^2 * (1 + EPSILON / sqrt(dimensions seen))^2.
+    candidate is given up when it exceeds reach^2 * (1 + epsilon / sqrt(dimensions seen))^2; an infinite epsilon gives
+    none up before all dimensions are seen.
     """
     limit = reach.astype(np.float64) ** 2
-    allow = lambda b: limit * (b / DIM) * (1 + EPSILON / np.sqrt(b)) ** 2
+    allow = lambda b: limit * (b / DIM) * (1 + epsilon / np.sqrt(b)) ** 2
     first = BLOCKS[0]
     part = square_distances(q[:, :first], m[:, :first])
     i, j = np.nonzero(part <= allow(first)[:, None])
@@ -129,7 +139,7 @@ def usable(v: str = "vector") -> F.Column:
     return F.col(v).isNotNull() & (F.size(v) == DIM) & fine & F.exists(v, lambda x: x != 0)
 
 
-def knn(reps: DataFrame, k: int = NEIGHBOURS, probes: int = PROBES) -> DataFrame:
+def knn(reps: DataFrame, k: int = NEIGHBOURS, probes: int | None = PROBES) -> DataFrame:
     """The k nearest others by cosine of every row of ``reps`` (id long, vector of DIM finite values): id, other, dist.
 
     ``dist`` is the squared distance of the unit vectors, 2 - 2 cosine. ``reps`` should be a stored table without two
@@ -139,7 +149,10 @@ def knn(reps: DataFrame, k: int = NEIGHBOURS, probes: int = PROBES) -> DataFrame
     row is put in its list, lists longer than CELL are cut into cells. First each vector is compared with its own
     cell, which gives its reach, the distance of its k-th neighbour so far. Then it visits the cells of its ``probes``
     nearest lists, except where the triangle inequality shows that none can lie within reach, and scans them block
-    by block of the rotated columns (``scan``). A vector is sent once to each group of neighbouring cells.
+    by block of the rotated columns (``scan``). A vector is sent once to each group of neighbouring cells; a group that
+    many vectors visit is scanned in slices of the visitors by several tasks. Lists grow with the square root of the
+    rows until SAMPLE / 8 (some 270 million rows), from there on with the rows. ``probes`` None is the exact way: all
+    lists are visited that the triangle inequality leaves, and no candidate is given up early.
     Measured recall: see the README. Fewer than k others give fewer rows; one row gives none.
     """
     spark = reps.sparkSession
@@ -147,10 +160,12 @@ def knn(reps: DataFrame, k: int = NEIGHBOURS, probes: int = PROBES) -> DataFrame
     schema = "id long, other long, dist double"
     if total < 2:
         return spark.createDataFrame([], schema)
-    share = min(1.0, 1.2 * SAMPLE / total)
-    seen = reps.where(F.pmod(F.xxhash64("id"), F.lit(1_000_000)) < int(share * 1_000_000)).limit(SAMPLE) if share < 1 else reps.limit(SAMPLE)
+    wanted = int(min(SAMPLE, max(SEEN, 32 * total**0.5)))
+    share = min(1.0, 1.2 * wanted / total)
+    seen = reps.where(F.pmod(F.xxhash64("id"), F.lit(1 << 40)) < int(share * (1 << 40))).limit(wanted) if share < 1 else reps.limit(wanted)
     sample = matrix(seen.select("vector").toArrow().column("vector").combine_chunks())
-    lists = int(min(MAX_LISTS, max(1, 2 * total**0.5), max(1, len(sample) // 8)))
+    lists = int(min(max(1, 2 * total**0.5), max(1, len(sample) // 8)))
+    epsilon, most = (np.inf, lists) if probes is None else (EPSILON, probes)
     centres = fit_centres(sample, lists)
 
     def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -172,6 +187,9 @@ def knn(reps: DataFrame, k: int = NEIGHBOURS, probes: int = PROBES) -> DataFrame
     bit = np.zeros(len(group), np.int64)
     bit[order] = np.arange(len(group)) - np.r_[0, np.cumsum(np.bincount(group, minlength=n_groups))][group[order]]
 
+    slices = max(1, -(-total * min(most, n_groups) // (n_groups * VISITS)))
+    n_parts = n_groups * slices
+
     def members(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             if not b.num_rows:
@@ -226,21 +244,23 @@ def knn(reps: DataFrame, k: int = NEIGHBOURS, probes: int = PROBES) -> DataFrame
 
     def visit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for i in range(0, b.num_rows, 2048):
-                part = b.slice(i, 2048)
+            step_ = min(2048, block_rows(len(centres)))
+            for i in range(0, b.num_rows, step_):
+                part = b.slice(i, step_)
                 ids, cell, reach = part.column(0).to_numpy(), part.column(1).to_numpy(), part.column(2).to_numpy()
                 v = np.frombuffer(b"".join(part.column(3).to_pylist()), np.float32).reshape(-1, DIM)
                 mem = np.empty(len(ids), _MEMBER)
                 mem["cell"], mem["near"], mem["v"] = cell, 0, v
-                yield K.pack_buckets(group[cell], n_groups, ids, mem, 0)
+                for s in range(slices):
+                    yield K.pack_buckets(group[cell] * slices + s, n_parts, ids, mem, 0)
                 d = np.sqrt(square_distances(v, centres))
-                p = min(probes, len(centres))
+                p = min(most, len(centres))
                 near = np.argpartition(d, p - 1, axis=1)[:, :p]
                 row, li = np.repeat(np.arange(len(ids)), p), near.ravel()
                 times = cuts[li]
                 step = np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)
                 row, c = np.repeat(row, times), np.repeat(base[li], times) + step
-                ok = (c != cell[row]) & (d[row, cell_list[c]] - radius[c] <= reach[row])
+                ok = (c != cell[row]) & (d[row, cell_list[c]] - radius[c] <= reach[row] + 1e-4)
                 row, c = row[ok], c[ok]
                 if not len(row):
                     continue
@@ -251,10 +271,11 @@ def knn(reps: DataFrame, k: int = NEIGHBOURS, probes: int = PROBES) -> DataFrame
                 row, g = row[o][at], group[c[o][at]]
                 qs = np.empty(len(row), _QUERY)
                 qs["mask"], qs["reach"], qs["v"] = mask, reach[row], v[row]
-                yield K.pack_buckets(g, n_groups, ids[row], qs, n_groups)
+                slice_ = (K.mix64(ids[row]) % np.uint64(slices)).astype(np.int64)
+                yield K.pack_buckets(g * slices + slice_, n_parts, ids[row], qs, n_parts)
 
     def search(t: pa.Table) -> pa.Table:
-        kind = np.array(t.column("bucket").to_pylist()) >= n_groups
+        kind = np.array(t.column("bucket").to_pylist()) >= n_parts
         ids, m = K.unpack_bucket(t.filter(pa.array(~kind)), _MEMBER)
         qid, q = K.unpack_bucket(t.filter(pa.array(kind)), _QUERY)
         out = [[], [], []]
@@ -267,7 +288,7 @@ def knn(reps: DataFrame, k: int = NEIGHBOURS, probes: int = PROBES) -> DataFrame
                 size_ = max(64, 2_000_000 // max(1, len(x)))
                 for s in range(0, len(ask), size_):
                     a = ask[s : s + size_]
-                    i, j, d = scan(x_all[a], q["reach"][a], x)
+                    i, j, d = scan(x_all[a], q["reach"][a], x, epsilon)
                     i, j, d = best(a[i], ids[mine[j]], d, k)
                     for store, y in zip(out, (i, j, d)):
                         store.append(y)
@@ -276,7 +297,7 @@ def knn(reps: DataFrame, k: int = NEIGHBOURS, probes: int = PROBES) -> DataFrame
         return pa.table({"id": pa.array(qid[i] if len(i) else np.zeros(0, np.int64)), "other": pa.array(j), "dist": pa.array(d)})
 
     work = stored.select("id", "cell", "reach", "v").mapInArrow(visit, K.PACKED)
-    more = work.groupBy(F.pmod("bucket", F.lit(n_groups)).alias("g")).applyInArrow(search, schema)
+    more = work.groupBy(F.pmod("bucket", F.lit(n_parts)).alias("g")).applyInArrow(search, schema)
     near = stored.select("id", F.explode(F.arrays_zip("others", "dists")).alias("x")).select("id", F.col("x.others").alias("other"), F.col("x.dists").alias("dist"))
     both = near.union(more).groupBy("id").agg(F.slice(F.sort_array(F.collect_list(F.struct("dist", "other"))), 1, k).alias("x"))
     return both.select("id", F.explode("x").alias("x")).select("id", F.col("x.other").alias("other"), F.col("x.dist").alias("dist"))

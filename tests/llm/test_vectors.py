@@ -57,3 +57,13 @@ def test_long_list_is_cut(spark, monkeypatch):
     got = V.neighbours(spark.createDataFrame([(i, None, v.tolist(), None) for i, v in enumerate(x)], SCHEMA)).collect()
     want = brute(x.astype(float))
     assert sum(r["other_id"] in want[r["vec_id"]] for r in got) >= 0.9 * 4000
+
+
+def test_exact_search(spark):
+    rng = np.random.default_rng(9)
+    x = rng.standard_normal((1500, 64)).astype(np.float32)
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "id long, vector array<float>")
+    got = {}
+    for r in V.knn(df, 5, probes=None).collect():
+        got.setdefault(r["id"], set()).add(r["other"])
+    assert got == {i: set(w.tolist()) for i, w in enumerate(brute(x.astype(float)))}
