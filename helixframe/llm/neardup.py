@@ -25,7 +25,11 @@ SHORT = 40
 #: Signatures a bucket of the exchange is meant to hold.
 BUCKET = 1_000_000
 
+#: Met pairs a bucket holds at most before they are folded and sent on.
+HELD = 4_000_000
+
 _SIG = np.dtype("<u8")
+_MARKED = np.dtype([("sig", "<u8"), ("label", "<i8")])
 
 
 def prefixes(off: np.ndarray, data: np.ndarray, hashing: int = 0) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -104,12 +108,48 @@ def _folded(found: list[tuple]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return a[at], b[at], np.minimum(np.add.reduceat(n, at) if len(at) else n, 99)
 
 
-def met(reps: DataFrame, keys, per_record: int, crowd: int | None, threshold: float) -> DataFrame:
+def with_labels(key: np.ndarray, label: np.ndarray) -> np.ndarray:
+    out = np.empty(len(key), _MARKED)
+    out["sig"], out["label"] = key, label
+    return out
+
+
+def spanned(left: np.ndarray, low: np.ndarray, high: np.ndarray, limit: int = 2_000_000) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs (left[i], j) for all j in [low[i], high[i]), in blocks of about ``limit`` pairs; nothing is left out."""
+    n = np.maximum(high - low, 0)
+    keep = n > 0
+    left, low, n = left[keep], low[keep], n[keep]
+    total, i = np.r_[0, np.cumsum(n)], 0
+    while i < len(n):
+        j = max(i + 1, int(np.searchsorted(total, total[i] + limit, "right")) - 1)
+        row = np.repeat(np.arange(i, j), n[i:j])
+        yield left[row], low[row] + np.arange(len(row)) - (total[row] - total[i])
+        i = j
+
+
+def list_pairs(mode: str, starts: np.ndarray, ends: np.ndarray, label: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs inside the lists [start, end): ``all`` of them, ``star``: each with the first, ``across``: of different
+    labels (sorted inside a list)."""
+    if mode == "all":
+        return K.pair_blocks(starts, ends)
+    if mode == "star":
+        return spanned(starts, starts + 1, ends)
+    n = ends - starts
+    at = np.repeat(starts - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
+    run = np.repeat(np.arange(len(n)), n)
+    change = np.flatnonzero(np.r_[True, (run[1:] != run[:-1]) | (label[at][1:] != label[at][:-1])]) if len(at) else np.zeros(0, np.int64)
+    size = np.diff(np.r_[change, len(at)])
+    return spanned(at, np.repeat(at[change] + size, size), np.repeat(ends, n))
+
+
+def met(reps: DataFrame, keys, per_record: int, crowd: int | None, threshold: float, mode: str = "all") -> DataFrame:
     """Pairs of records sharing at least two keys (or one whose lowest bit is 1): id_a < id_b, n.
 
     ``keys``: a function like ``signatures``. A key with lowest bit 0 that more than ``crowd`` records share gives no
     pairs; its records are named in rows with id_a = id_b instead. None: every key gives its pairs.
+    ``mode``: which pairs of a key, see ``list_pairs``; ``across`` needs a column ``label`` (long).
     """
+    marked = mode == "across"
     n_buckets = max(4, -(-reps.count() * per_record // BUCKET))
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -117,15 +157,23 @@ def met(reps: DataFrame, keys, per_record: int, crowd: int | None, threshold: fl
             parts = []
             for p in K.steps(b):
                 rec, key = keys(*K.text_bytes(p.column(1)), threshold)
-                parts.append((p.column(0).to_numpy()[rec], ((key >> np.uint64(40)) % np.uint64(n_buckets)).astype(np.int64), key))
+                bucket = ((key >> np.uint64(40)) % np.uint64(n_buckets)).astype(np.int64)
+                if marked:
+                    key = with_labels(key, p.column(2).to_numpy()[rec])
+                parts.append((p.column(0).to_numpy()[rec], bucket, key))
             if sum(len(p[0]) for p in parts):
                 ids, bucket, sig = (np.concatenate(c) for c in zip(*parts))
                 yield K.pack_buckets(bucket, n_buckets, ids, sig)
 
-    def match(t: pa.Table) -> pa.Table:
-        ids, sig = K.unpack_bucket(t, _SIG)
-        order = np.argsort(sig, kind="stable")
-        sig, ids = sig[order], ids[order]
+    def rows(a: np.ndarray, b: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(n, pa.int64())], ["id_a", "id_b", "n"])
+
+    def match(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ids, sig = K.unpack_bucket(pa.Table.from_batches(list(batches)), _MARKED if marked else _SIG)
+        label = sig["label"] if marked else ids
+        sig = np.ascontiguousarray(sig["sig"]) if marked else sig
+        order = np.lexsort((label, sig)) if marked else np.argsort(sig, kind="stable")
+        sig, ids, label = sig[order], ids[order], label[order]
         starts = K.first_of(sig)
         ends = np.r_[starts[1:], len(sig)]
         single = (sig[starts] & np.uint64(1)) == 1
@@ -133,21 +181,25 @@ def met(reps: DataFrame, keys, per_record: int, crowd: int | None, threshold: fl
         found, waiting = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64))], 0
         for strong in (False, True):
             of = done & (single == strong)
-            for i, j in K.pair_blocks(starts[of], ends[of]):
+            for i, j in list_pairs(mode, starts[of], ends[of], label):
                 a, b = np.minimum(ids[i], ids[j]), np.maximum(ids[i], ids[j])
                 a, b, n = K.unique_pairs(a[a != b], b[a != b])
                 found.append((a, b, n * (1 + strong)))
                 waiting += len(a)
-                if waiting > 2 * len(found[0][0]) + 4_000_000:
+                if waiting > HELD:
+                    # Counts of a pair may leave in parts: they are added up after the exchange.
                     found, waiting = [_folded(found)], 0
-        a, b, n = _folded(found)
+                    if len(found[0][0]) > HELD // 2:
+                        yield rows(*found.pop())
+        if found:
+            yield rows(*_folded(found))
         inside = np.zeros(len(sig) + 1, np.int64)
         inside[starts[~done]] += 1
         inside[ends[~done]] -= 1
         many = np.unique(ids[np.cumsum(inside)[:-1] > 0])
-        return pa.table({"id_a": pa.array(np.r_[a, many], pa.int64()), "id_b": pa.array(np.r_[b, many], pa.int64()), "n": pa.array(np.r_[n, np.zeros(len(many), np.int64)], pa.int64())})
+        yield rows(many, many, np.zeros(len(many), np.int64))
 
-    packed = reps.select("id", "residues").mapInArrow(emit, K.PACKED)
+    packed = reps.select("id", "residues", *(["label"] if marked else [])).mapInArrow(emit, K.PACKED)
     return packed.groupBy("bucket").applyInArrow(match, "id_a long, id_b long, n long").groupBy("id_a", "id_b").agg(F.sum("n").alias("n")).where("n >= 2 or id_a = id_b")
 
 
@@ -184,6 +236,28 @@ def near_pairs(reps: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     return verify_pairs(candidate_pairs(reps, threshold), reps, reps, threshold)
 
 
+def near_classes(reps: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """node, component (least id) of every record with a partner in ``near_pairs``, without forming all pairs of a crowd.
+
+    The first search is that of ``near_pairs``. Of the records of crowded combinations each is then compared only with
+    the first record of its lists, which joins most of a crowd; in a second round of the same lists only records that
+    are still in different components are compared. No pair that could join two components is left out, so the
+    components are those of all pairs that ``near_pairs`` finds.
+    """
+    first = materialize(met(reps, signatures, CLASSES, CROWD, threshold), "met")
+    near = verify_pairs(first.where("id_a < id_b").select("id_a", "id_b"), reps, reps, threshold).select(F.col("id_a").alias("u"), F.col("id_b").alias("v"))
+    crowd = materialize(reps.join(first.where("id_a = id_b").select(F.col("id_a").alias("id")), "id", "left_semi").select("id", "residues"), "crowd")
+    stars = verify_pairs(met(crowd, crowd_signatures, CLASSES * ROUNDS, None, threshold, "star").select("id_a", "id_b"), crowd, crowd, threshold)
+    edges = materialize(near.union(stars.select("id_a", "id_b")), "edges")
+    known = components(edges)
+    if crowd.isEmpty():
+        return known
+    marked = materialize(crowd.join(known, F.col("id") == F.col("node"), "left").select("id", "residues", F.coalesce("component", "id").alias("label")), "marked")
+    rest = verify_pairs(met(marked, crowd_signatures, CLASSES * ROUNDS, None, threshold, "across").select("id_a", "id_b"), crowd, crowd, threshold)
+    rest = materialize(rest.select(F.col("id_a").alias("u"), F.col("id_b").alias("v")), "rest")
+    return known if rest.isEmpty() else components(edges.union(rest))
+
+
 def verify_pairs(candidates: DataFrame, left: DataFrame, right: DataFrame, threshold: float) -> DataFrame:
     """Exact window Jaccard of candidate pairs (id_a of ``left``, id_b of ``right``), those below the threshold dropped."""
 
@@ -214,17 +288,12 @@ def representatives(df: DataFrame, id_col: str, text: F.Column, name: str) -> tu
 TABLES = {"dataset_info": "sequence", "dms_cosent": "sentence_0"}
 
 
-def similar_rows(spark: SparkSession, sf_dir: str, name: str, threshold: float = THRESHOLD) -> tuple[DataFrame, DataFrame]:
-    """Membership (id, rep) and pairs between representatives of one table, both stored."""
-    reps, members = representatives(table(spark, sf_dir, name), "row_id", residues(TABLES[name]), name)
-    return materialize(members, "members"), materialize(near_pairs(reps, threshold), "pairs")
-
-
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pairs of rows of one table with half of their windows in common, copies included."""
     out = None
     for name in TABLES:
-        members, pairs = similar_rows(spark, sf_dir, name)
+        reps, members = representatives(table(spark, sf_dir, name), "row_id", residues(TABLES[name]), name)
+        members, pairs = materialize(members, "members"), materialize(near_pairs(reps), "pairs")
         m1 = members.select(F.col("id").alias("x"), F.col("rep").alias("rx"))
         m2 = members.select(F.col("id").alias("y"), F.col("rep").alias("ry"))
         apart = pairs.join(m1, F.col("id_a") == F.col("rx")).join(m2, F.col("id_b") == F.col("ry")).select("x", "y")
@@ -235,17 +304,14 @@ def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p4_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One row for each row with a window: its class (least row_id of the connected group), links and copies."""
+    """One row for each row with a window: its class (least row_id of the connected group) and the copies of its text."""
     out = None
     for name in TABLES:
-        members, pairs = similar_rows(spark, sf_dir, name)
-        of = components(pairs.select(F.col("id_a").alias("u"), F.col("id_b").alias("v"))).select("node", F.col("component").alias("c"))
+        reps, members = representatives(table(spark, sf_dir, name), "row_id", residues(TABLES[name]), name)
+        of = near_classes(reps).select("node", F.col("component").alias("c"))
         copies = members.groupBy("rep").agg(F.count(F.lit(1)).alias("copies")).select(F.col("rep").alias("r2"), "copies")
-        ends = pairs.select(F.col("id_a").alias("node2")).union(pairs.select("id_b")).groupBy("node2").agg(F.count(F.lit(1)).alias("links"))
-        part = (
-            members.join(of, F.col("rep") == F.col("node"), "left").join(copies, F.col("rep") == F.col("r2")).join(ends, F.col("rep") == F.col("node2"), "left")
-            .select(F.lit(name).alias("table_name"), F.col("id").alias("row_id"), F.coalesce("c", "rep").alias("class_id"), F.coalesce("links", F.lit(0)).alias("links"), "copies")
-        )
+        part = members.join(of, F.col("rep") == F.col("node"), "left").join(copies, F.col("rep") == F.col("r2")).select(
+            F.lit(name).alias("table_name"), F.col("id").alias("row_id"), F.coalesce("c", "rep").alias("class_id"), "copies")
         out = part if out is None else out.union(part)
     return out
 

@@ -78,6 +78,30 @@ def test_near_pairs_of_a_large_family(spark):
     assert len(want - got) <= 1e-4 * len(want)
 
 
+def test_near_classes(spark, texts):
+    df = spark.createDataFrame(list(enumerate(texts)), "id long, residues string")
+    group = list(range(len(texts)))
+    pairs = brute(texts)
+    for i, j in pairs:
+        x, y = sorted((group[i], group[j]))
+        group = [x if g == y else g for g in group]
+    got = {r["node"]: r["component"] for r in N.near_classes(df).collect()}
+    assert got == {i: group[i] for i in {x for p in pairs for x in p}}
+    assert N.near_classes(spark.createDataFrame([], "id long, residues string")).collect() == []
+
+
+def test_pairs_across_labels():
+    starts, ends, label = np.array([0, 5]), np.array([5, 7]), np.array([1, 1, 2, 3, 3, 4, 4])
+    got = [tuple(p) for i, j in N.list_pairs("across", starts, ends, label) for p in zip(i.tolist(), j.tolist())]
+    assert got == [(i, j) for i in range(5) for j in range(i + 1, 5) if label[i] != label[j]]
+
+
+def test_statistics_are_added_up_in_a_tree(spark, texts):
+    df = spark.createDataFrame([(i, x, "s") for i, x in enumerate(texts)], "id long, residues string, scope string")
+    a, b = (O.gather_statistics(df.repartition(n), df.limit(0), "all") for n in (1, O.FAN_IN + 6))
+    assert np.array_equal(a.idf, b.idf) and np.array_equal(a.most, b.most) and np.array_equal(a.present, b.present)
+
+
 def test_near_pairs_edges(spark):
     assert N.near_pairs(spark.createDataFrame([], "id long, residues string")).collect() == []
     df = spark.createDataFrame([(1, "ACDEF"), (2, "ACDEFG"), (3, "AAAAAAAAAA"), (4, "AAAAAA"), (5, "ACDEF" * 9000)], "id long, residues string")
@@ -152,5 +176,5 @@ def test_classes_and_found(spark, tmp_path):
     spark.createDataFrame([(1, a), (2, b), (3, a), (4, None), (5, "ACD"), (6, "")], "row_id long, sequence string").write.parquet(f"{tmp_path}/dataset_info.parquet")
     spark.createDataFrame([(9, a)], "row_id long, sentence_0 string").write.parquet(f"{tmp_path}/dms_cosent.parquet")
     assert {tuple(r) for r in N.p4_found(spark, str(tmp_path)).collect()} == {("dataset_info", 1, 2), ("dataset_info", 1, 3), ("dataset_info", 2, 3)}
-    c = {(r["table_name"], r["row_id"]): (r["class_id"], r["links"], r["copies"]) for r in N.p4_classes(spark, str(tmp_path)).collect()}
-    assert c == {("dataset_info", 1): (1, 1, 2), ("dataset_info", 3): (1, 1, 2), ("dataset_info", 2): (1, 1, 1), ("dms_cosent", 9): (9, 0, 1)}
+    c = {(r["table_name"], r["row_id"]): (r["class_id"], r["copies"]) for r in N.p4_classes(spark, str(tmp_path)).collect()}
+    assert c == {("dataset_info", 1): (1, 2), ("dataset_info", 3): (1, 2), ("dataset_info", 2): (1, 1), ("dms_cosent", 9): (9, 1)}
