@@ -13,13 +13,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from helixframe.llm import kernels as K
-from helixframe.util import materialize, parallelism, spread, table
+from helixframe.util import materialize, spread, table
 
 #: Words of a passage, and of a shingle inside it.
 PASSAGE, SHINGLE = 10, 5
 #: Bits of the filter that spares the corpus the exchange of hashes no item has.
 FILTER = 1 << 26
-#: Words an Arrow batch is worked on at a time, about.
 _WORD = regex.compile(r"[\p{L}\p{Nd}]+")
 _FORMAT = regex.compile(r"\p{Cf}+")
 
