@@ -95,12 +95,6 @@ def signature(df: DataFrame, key: str, digits: int = 12) -> DataFrame:
     return df.agg(F.substring(F.sha2(joined.cast("binary"), 256), 1, digits).alias("signature"))
 
 
-def first_n(df: DataFrame, group: list[str], order: list[Column], n: int, rank: str = "_rank") -> DataFrame:
-    """The first n rows of each group in the given order."""
-    w = Window.partitionBy(*group).orderBy(*order)
-    return df.withColumn(rank, F.row_number().over(w)).where(F.col(rank) <= n).drop(rank)
-
-
 def hash_cap(df: DataFrame, n: int, seed: int, *keys: str, buckets: int = 4096) -> DataFrame:
     """Exactly the n rows (all, if fewer) first in the order of ``stable_hash``, then keys, without a global sort.
 

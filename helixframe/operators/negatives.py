@@ -8,8 +8,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-# Total log-odds drop, least substitutions, first bound of substitutions, divisor of the length for spacing.
-THRESHOLD, LEAST, FIRST_MOST, SPACING = -16.0, 6, 12, 8
+# Total log-odds drop, least substitutions, divisor of the length for spacing.
+THRESHOLD, LEAST, SPACING = -16.0, 6, 8
 POOL_LIMIT = -1.0
 AMINO = "ACDEFGHIKLMNPQRSTVWY"
 #: Rows of a family in one task; a larger family is cut into slices, each with a copy of the profile.

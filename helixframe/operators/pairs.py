@@ -52,11 +52,13 @@ def labelled_examples(df: DataFrame, seq: str, label: str, key: str, least: int
 
     Label counts are those of the rows after ``max_rows``. Raises where no label survives.
     """
+    from helixframe.operators.corpus import indexed
+
     rows = hash_cap(df.where(F.col(seq).isNotNull() & (F.length(seq) > 0) & F.col(label).isNotNull()).select(key, seq, label), max_rows, seed, key)
     names = rows.groupBy(label).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") >= least)
     if names.limit(1).count() == 0:
         raise ValueError("no label has enough rows")
-    coded = names.select(F.col(label).alias("class_name"), (F.dense_rank().over(Window.orderBy(label)) - 1).alias("label_id"))
+    coded = indexed(names.select(F.col(label).alias("class_name")), ["class_name"], "label_id")
     j = rows.join(coded, F.col(label) == F.col("class_name"))
     kept = sample_per_group(j, ["class_name"], per_label, seed, key)
     return kept.select(key, F.col(seq).alias("sentence"), F.col("label_id").alias("label"), "class_name")
@@ -103,7 +105,7 @@ def interleave(df: DataFrame, source: str, key: str, batch: int, seed: int = 42)
     size = df.groupBy(source).agg(F.count(F.lit(1)).alias("_n")).withColumn("_before", F.coalesce(F.sum("_n").over(Window.orderBy(source).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
     size = size.withColumn("_full", F.floor(F.min("_n").over(Window.partitionBy()) / batch)).withColumn("_s", F.count(F.lit(1)).over(Window.partitionBy()))
     size = size.select(F.col(source).alias("_z"), "_before", "_full", "_s")
-    j = place.join(F.broadcast(size), F.col(source) == F.col("_z")).join(F.broadcast(names), F.col(source) == F.col("_src"))
+    j = place.join(size, F.col(source) == F.col("_z")).join(names, F.col(source) == F.col("_src"))
     j = j.withColumn("batch_id", F.floor((F.col("_idx") - F.col("_before")) / batch)).where("batch_id < _full")
     return j.select(source, key, "batch_id", (F.col("batch_id") * F.col("_s") + F.col("_k")).alias("turn"))
 

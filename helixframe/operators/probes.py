@@ -5,10 +5,11 @@ from __future__ import annotations
 from pyspark.ml.classification import GBTClassifier, LogisticRegression, OneVsRest
 from pyspark.ml.functions import array_to_vector
 from pyspark.ml.regression import GBTRegressor, LinearRegression
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from helixframe.operators import metrics as M
+from helixframe.operators.corpus import indexed
 from helixframe.operators.vectormath import block_neighbours, cosine
 
 
@@ -20,7 +21,7 @@ def effective_probe(problem: Column, mode: Column, requested: Column) -> Column:
 def encode_labels(train: DataFrame, test: DataFrame, label: str) -> DataFrame:
     """PRB4: class numbers over the labels of both sides, by sorted name: label, code."""
     names = train.select(label).union(test.select(label)).where(F.col(label).isNotNull()).distinct()
-    return names.withColumn("code", F.dense_rank().over(Window.orderBy(label)) - 1)
+    return indexed(names, [label], "code")
 
 
 def keep_top_labels(df: DataFrame, train: DataFrame, labels: str, k: int) -> DataFrame:
