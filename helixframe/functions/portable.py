@@ -95,7 +95,7 @@ def signature(df: DataFrame, key: str, digits: int = 12) -> DataFrame:
     return df.agg(F.substring(F.sha2(joined.cast("binary"), 256), 1, digits).alias("signature"))
 
 
-def hash_cap(df: DataFrame, n: int, seed: int, *keys: str, buckets: int = 4096) -> DataFrame:
+def hash_cap(df: DataFrame, n: int, seed: int, *keys: str) -> DataFrame:
     """Exactly the n rows (all, if fewer) first in the order of ``stable_hash``, then keys, without a global sort.
 
     Rows are counted by the first three hex digits of their hash; whole buckets below the cut are kept by a filter and
@@ -104,13 +104,18 @@ def hash_cap(df: DataFrame, n: int, seed: int, *keys: str, buckets: int = 4096)
     """
     if n <= 0:
         return df
+    return hash_flag(df, n, seed, *keys, name="_kept").where("_kept").drop("_kept")
+
+
+def hash_flag(df: DataFrame, n: int, seed: int, *keys: str, name: str) -> DataFrame:
+    """All rows, with a flag for the n that ``hash_cap`` keeps. Rows of null or repeated keys are counted one by one."""
     h = df.withColumn("_h", stable_hash(seed, *keys)).withColumn("_b", F.substring("_h", 1, 3))
     counts = h.groupBy("_b").agg(F.count(F.lit(1)).alias("_n"))
     below = F.sum("_n").over(Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1))
-    cut = counts.select(F.col("_b").alias("_c"), F.coalesce(below, F.lit(0)).alias("_before"), "_n").where(F.col("_before") < n)
-    kept = h.join(F.broadcast(cut), F.col("_b") == F.col("_c"))
-    whole = kept.where(F.col("_before") + F.col("_n") <= n)
-    edge = kept.where(F.col("_before") + F.col("_n") > n)
-    w = Window.partitionBy("_b").orderBy("_h", *keys)
-    edge = edge.withColumn("_r", F.row_number().over(w)).where(F.col("_r") + F.col("_before") <= n).drop("_r")
+    cut = counts.select(F.col("_b").alias("_c"), F.coalesce(below, F.lit(0)).alias("_before"), "_n")
+    j = h.join(F.broadcast(cut), F.col("_b") == F.col("_c"))
+    border = (F.col("_before") < n) & (F.col("_before") + F.col("_n") > n)
+    whole = j.where(~border).withColumn(name, F.col("_before") + F.col("_n") <= n)
+    place = F.row_number().over(Window.partitionBy("_b").orderBy("_h", *keys)) + F.col("_before")
+    edge = j.where(border).withColumn("_r", place).withColumn(name, F.col("_r") <= n).drop("_r")
     return whole.unionByName(edge).drop("_h", "_b", "_c", "_before", "_n")

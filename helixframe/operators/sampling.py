@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from helixframe.functions.portable import hash_cap, stable_hash
+from helixframe.functions.portable import hash_cap, hash_flag, stable_hash
 from helixframe.operators.running import running
 
 
@@ -38,14 +38,9 @@ def sample_rows(df: DataFrame, n: int, seed: int, *keys: str) -> DataFrame:
 
 
 def random_split(df: DataFrame, share: float, seed: int, *keys: str, name: str = "split") -> DataFrame:
-    """SMP8: train / test with exactly floor(share * rows) training rows."""
-    total = df.count()
-    take = int(total * share)
-    head = hash_cap(df, take, seed, *keys).select(*[F.col(k).alias(f"_t_{k}") for k in keys]).withColumn("_in", F.lit(1)) if take else None
-    if head is None:
-        return df.withColumn(name, F.lit("test"))
-    on = [F.col(k) == F.col(f"_t_{k}") for k in keys]
-    return df.join(head, on, "left").withColumn(name, F.when(F.col("_in") == 1, "train").otherwise("test")).drop("_in", *[f"_t_{k}" for k in keys])
+    """SMP8: train / test with exactly floor(share * rows) training rows, also where keys are null or repeated."""
+    take = int(df.count() * share)
+    return hash_flag(df, take, seed, *keys, name="_in").withColumn(name, F.when(F.col("_in"), "train").otherwise("test")).drop("_in")
 
 
 def group_split(df: DataFrame, group: str, share: float, seed: int, name: str = "split") -> DataFrame:

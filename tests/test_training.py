@@ -166,3 +166,10 @@ def test_hard_negatives(spark, monkeypatch):
         assert sum(odds["F", p, n[p]] - odds["F", p, s[p]] for p in at) <= N.THRESHOLD + 1e-6
     again = {r["row_id"]: r["hard_negative"] for r in N.hard_negatives(df.repartition(3), prof, "row_id", "f", "s").collect()}
     assert again == got
+
+
+def test_random_split_counts_rows_of_odd_keys(spark):
+    df = spark.createDataFrame([(None,)] * 4 + [(1,)] * 3 + [(2,), (3,), (4,)], "k int")
+    n = {r["split"]: r["count"] for r in S.random_split(df, 0.8, 5, "k").groupBy("split").count().collect()}
+    assert n == {"train": 8, "test": 2}
+    assert S.random_split(df, 0.0, 5, "k").where("split = 'train'").isEmpty()
