@@ -148,6 +148,70 @@ def test_cross_pairs(spark, texts):
     assert len(got) >= 0.99 * len(want)
 
 
+def test_cross_pairs_of_rearranged_blocks(spark):
+    # Common parts of 12 residues in another order, a few repeats, and sizes that differ: no run of 13 residues is common.
+    rng = random.Random(17)
+    ev, tr = [], []
+    for blocks in (4, 12, 20, 60):
+        for _ in range(25):
+            parts = ["".join(rng.choice(AA) for _ in range(12)) for _ in range(blocks)]
+            ev.append("".join(parts))
+            tr.append("".join(rng.sample(parts, blocks)))
+            tr.append("".join(rng.sample(parts, blocks)[: max(2, blocks * 3 // 4)]))
+    # Low complexity: few different windows in long texts, and long texts with many repeated runs.
+    for _ in range(20):
+        unit = "".join(rng.choice("AG") for _ in range(400))
+        ev.append(unit + unit[:90])
+        tr += [edited(unit, 0.01, rng), unit[200:] + unit[:200], "".join(rng.choice(AA) for _ in range(2500))]
+        ev.append(edited(tr[-1], 0.03, rng))
+        short = "".join(rng.choice(AA) for _ in range(rng.randint(5, 45)))
+        ev.append(short)
+        tr += [short + rng.choice(AA) * 3, short[1:], short * 3]
+    e = spark.createDataFrame([(i, t, "a") for i, t in enumerate(ev)], "id long, residues string, scope string")
+    t = spark.createDataFrame([(i, x, "a" if i % 2 else O.DMS) for i, x in enumerate(tr)], "id long, residues string, scope string")
+    got = {(r["id_a"], r["id_b"]) for r in O.cross_pairs(e, t, O.DMS).collect()}
+    want = brute(ev, tr)
+    assert len(want) > 200
+    assert got == want
+
+
+def test_cross_pairs_without_common_long_runs(spark):
+    # Nine parts of 12 residues in another order; in a few of 3,000 pairs the least-hashed runs of the parts hardly agree.
+    rng = random.Random(29)
+    parts = [["".join(rng.choice(AA) for _ in range(12)) for _ in range(9)] for _ in range(3000)]
+    ev, tr = ["".join(p) for p in parts], ["".join(rng.sample(p, 9)) for p in parts]
+    e, t = (spark.createDataFrame([(i, x, "a") for i, x in enumerate(c)], "id long, residues string, scope string") for c in (ev, tr))
+    got = {(r["id_a"], r["id_b"]) for r in O.cross_pairs(e, t, O.DMS).collect()}
+    assert got == {(i, i) for i in range(3000) if K.window_jaccard(ev[i], tr[i]) >= 0.5}
+    assert len(got) > 2500
+
+
+def test_bound_of_common_runs():
+    # Pairs made of common blocks, tandem repeats and edits never have fewer common terms than the bound says.
+    rng = random.Random(23)
+    texts = []
+    for _ in range(120):
+        base = "".join(rng.choice(AA[: rng.choice([4, 8, 20])]) for _ in range(rng.randint(40, 300)))
+        cut = rng.randint(1, len(base) - 1)
+        i, k = rng.randrange(len(base) - 5), rng.randint(1, 6)
+        texts += [base, edited(base, 0.06, rng), base[cut:] + base[:cut], base[:i] + base[i : i + k] + base[i:], base[: len(base) * 3 // 5]]
+    rs = O.Records(pa.array(texts), 0.5)
+    rec, term = rs.runs(np.ones(len(texts), bool))
+    runs = [set(term[rec == i].tolist()) for i in range(len(texts))]
+    some = 0
+    for g in range(0, len(texts), 5):
+        for i in range(g, g + 5):
+            for j in range(i + 1, g + 5):
+                if K.window_jaccard(texts[i], texts[j]) >= 0.5:
+                    bound = O.least_of_pair(rs.size[i], rs.size[j], rs.slack[i], rs.slack[j], O.RUNS, 0.5)
+                    assert len(runs[i] & runs[j]) >= bound
+                    some += bound > 0
+                    if rs.regular[i] and rs.regular[j]:
+                        assert bound >= max(O.least(rs.size[[i, j]], rs.slack[[i, j]], np.zeros(2, int), 0.5))
+    assert some > 300
+    assert np.array_equal(O.unpacked_keys(O.packed_keys(np.array([0, 1, 255, 256, 511, 5000]))), [0, 1, 255, 256, 511, 5000])
+
+
 def test_cross_pairs_empty(spark):
     none = spark.createDataFrame([], "id long, residues string, scope string")
     some = spark.createDataFrame([(1, "ACDEFGHIKL", "a")], "id long, residues string, scope string")
