@@ -25,8 +25,10 @@ SHORT = 40
 #: Signatures a bucket of the exchange is meant to hold.
 BUCKET = 1_000_000
 
-#: Met pairs a bucket holds at most before they are folded and sent on.
-HELD = 4_000_000
+#: Met pairs a bucket holds at most before they are folded and sent on, and pairs formed at a time.
+HELD, BLOCK = 1_000_000, 500_000
+#: Records whose signatures are packed at a time.
+ROWS = 2_000
 
 _SIG = np.dtype("<u8")
 _MARKED = np.dtype([("sig", "<u8"), ("label", "<i8")])
@@ -114,7 +116,7 @@ def with_labels(key: np.ndarray, label: np.ndarray) -> np.ndarray:
     return out
 
 
-def spanned(left: np.ndarray, low: np.ndarray, high: np.ndarray, limit: int = 2_000_000) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+def spanned(left: np.ndarray, low: np.ndarray, high: np.ndarray, limit: int = BLOCK) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Pairs (left[i], j) for all j in [low[i], high[i]), in blocks of about ``limit`` pairs; nothing is left out."""
     n = np.maximum(high - low, 0)
     keep = n > 0
@@ -131,7 +133,7 @@ def list_pairs(mode: str, starts: np.ndarray, ends: np.ndarray, label: np.ndarra
     """Pairs inside the lists [start, end): ``all`` of them, ``star``: each with the first, ``across``: of different
     labels (sorted inside a list)."""
     if mode == "all":
-        return K.pair_blocks(starts, ends)
+        return K.pair_blocks(starts, ends, BLOCK)
     if mode == "star":
         return spanned(starts, starts + 1, ends)
     n = ends - starts
@@ -153,7 +155,7 @@ def met(reps: DataFrame, keys, per_record: int, crowd: int | None, threshold: fl
     n_buckets = max(4, -(-reps.count() * per_record // BUCKET))
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in (big.slice(i, ROWS) for big in batches for i in range(0, big.num_rows, ROWS)):
             parts = []
             for p in K.steps(b):
                 rec, key = keys(*K.text_bytes(p.column(1)), threshold)
