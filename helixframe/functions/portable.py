@@ -95,21 +95,21 @@ def signature(df: DataFrame, key: str, digits: int = 12) -> DataFrame:
     return df.agg(F.substring(F.sha2(joined.cast("binary"), 256), 1, digits).alias("signature"))
 
 
-def hash_cap(df: DataFrame, n: int, seed: int, *keys: str) -> DataFrame:
+def hash_cap(df: DataFrame, n: int, seed: int, *keys: str, buckets: int = 4096) -> DataFrame:
     """Exactly the n rows (all, if fewer) first in the order of ``stable_hash``, then keys, without a global sort.
 
-    Rows are counted by the first three hex digits of their hash; whole buckets below the cut are kept by a filter and
+    Rows are counted by the first hex digits of their hash, as many as ``buckets`` needs; whole buckets below the cut are kept by a filter and
     only the bucket at the cut is ranked. n <= 0 means no cap. Needs keys that are unique for a result that is the
     same in every run.
     """
     if n <= 0:
         return df
-    return hash_flag(df, n, seed, *keys, name="_kept").where("_kept").drop("_kept")
+    return hash_flag(df, n, seed, *keys, name="_kept", buckets=buckets).where("_kept").drop("_kept")
 
 
-def hash_flag(df: DataFrame, n: int, seed: int, *keys: str, name: str) -> DataFrame:
+def hash_flag(df: DataFrame, n: int, seed: int, *keys: str, name: str, buckets: int = 4096) -> DataFrame:
     """All rows, with a flag for the n that ``hash_cap`` keeps. Rows of null or repeated keys are counted one by one."""
-    h = df.withColumn("_h", stable_hash(seed, *keys)).withColumn("_b", F.substring("_h", 1, 3))
+    h = df.withColumn("_h", stable_hash(seed, *keys)).withColumn("_b", F.substring("_h", 1, len(f"{max(buckets, 2) - 1:x}")))
     counts = h.groupBy("_b").agg(F.count(F.lit(1)).alias("_n"))
     below = F.sum("_n").over(Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1))
     cut = counts.select(F.col("_b").alias("_c"), F.coalesce(below, F.lit(0)).alias("_before"), "_n")
