@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
@@ -20,8 +21,13 @@ CLASSES = 64
 CROWD = 48
 #: Independent hashings in which the records of crowded combinations are searched again, by three tokens.
 ROUNDS = 3
-#: Pairs with fewer windows than this in the smaller record are found by single tokens (exact prefix filter).
+#: Pairs with fewer windows than this in the smaller record are found by single tokens (exact prefix filter); the larger
+#: record of such a pair has under SHORT / threshold windows, and so do all records that give single tokens.
 SHORT = 40
+#: Meetings that make a candidate: of single tokens each counts one, of combinations each counts half of this.
+MEETINGS = 4
+#: Low bits of the key of a single token: the lowest is 1, then its place in the record's order and the record's windows.
+PLACE = 17
 #: Signatures a bucket of the exchange is meant to hold.
 BUCKET = 1_000_000
 
@@ -66,38 +72,82 @@ def joined(m: np.ndarray, tokens: int, hashing: int = 0) -> np.ndarray:
     return K.mix64(key) & ~np.uint64(1)
 
 
-def signatures(off: np.ndarray, data: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray]:
+def combinations(m: np.ndarray, has: np.ndarray, size: np.ndarray, tokens: int, threshold: float, hashing: int = 0) -> tuple[np.ndarray, np.ndarray]:
+    """Record and key of each combination of the records ``has``. Bit 1 of a key marks a record that also gives single
+    tokens. Records under SHORT windows have no combinations: whatever is close to them gives single tokens as well."""
+    long = size[has] >= SHORT
+    mark = (size[has[long]] < SHORT / threshold).astype(np.uint64) << np.uint64(1)
+    key = joined(m[long], tokens, hashing) & ~np.uint64(3)
+    return np.repeat(has[long], CLASSES), (key | mark[:, None]).ravel()
+
+
+def signatures(off: np.ndarray, data: np.ndarray, threshold: float, common: tuple[np.ndarray, np.ndarray] | None = None) -> tuple[np.ndarray, np.ndarray]:
     """Record and key of each signature of a batch: CLASSES combinations of two tokens a record.
 
-    Records with under 2 * SHORT windows also give the single tokens of their Jaccard prefix in the one global order;
-    the lowest bit of their keys is 1.
+    Records with under SHORT / threshold windows also give the single tokens of their Jaccard prefix in the one global
+    order, rare tokens first (``common``: see ``common_tokens``); the lowest bit of their keys is 1. The prefix is so long
+    that the first MEETINGS common tokens of a close pair are in both.
     """
+    if threshold * 256 < SHORT:
+        raise ValueError("windows and places of short records need 8 bits at this threshold")
     rec, h, has, m = prefixes(off, data)
     n = len(off) - 1
     size = np.bincount(rec, minlength=n)
-    out_rec, out_key = [np.repeat(has, CLASSES)], [joined(m, 2).ravel()]
-    few = np.flatnonzero((size > 0) & (size < 2 * SHORT))
+    parts = [combinations(m, has, size, 2, threshold)]
+    few = np.flatnonzero((size > 0) & (size < SHORT / threshold))
     if len(few):
         mine = np.isin(rec, few)
-        r, t = rec[mine], K.mix64(h[mine].astype(np.uint64) + np.uint64(1 << 50))
-        o = np.lexsort((t, r))
+        r, h = rec[mine], h[mine].astype(np.uint64)
+        t, level = K.mix64(h + np.uint64(1 << 50)), np.zeros(len(h), np.uint8)
+        if common is not None and len(common[0]):
+            at = np.minimum(np.searchsorted(common[0], h), len(common[0]) - 1)
+            level = np.where(common[0][at] == h, common[1][at], 0)
+        o = np.lexsort((t, level, r))
         r, t = r[o], t[o]
         start = np.r_[0, np.cumsum(np.bincount(r, minlength=n))][:-1]
         place = np.arange(len(r)) - start[r]
-        prefix = size[r] - np.ceil(threshold * size[r] - 1e-9).astype(np.int64) + 1
+        prefix = size[r] - np.ceil(threshold * size[r] - 1e-9).astype(np.int64) + MEETINGS
         keep = place < prefix
-        out_rec.append(r[keep])
-        out_key.append(K.mix64(t[keep]) | np.uint64(1))
-    return np.concatenate(out_rec), np.concatenate(out_key)
+        r, place = r[keep], place[keep]
+        low = (size[r] << 9) | (place << 1) | 1
+        parts.append((r, (K.mix64(t[keep]) >> np.uint64(PLACE) << np.uint64(PLACE)) | low.astype(np.uint64)))
+    return tuple(np.concatenate(c) for c in zip(*parts))
+
+
+def common_tokens(reps: DataFrame, threshold: float) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes (in order) of the tokens that more than CROWD short records hold, and a level that rises with their number.
+
+    They only put the single tokens in order: the result is the same with any order, but where a crowd of relatives has
+    its common tokens last, the prefixes of two of them have a token in common only if they are nearly close enough. So
+    tokens met once in a task are not counted. There are at most 26^5 tokens, however many records.
+    """
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = np.zeros(26**K.WINDOW, np.int32)
+        for b in (p for big in batches for p in K.steps(big)):
+            rec, code = K.codes(*K.text_bytes(b.column(0)), K.WINDOW)
+            token, n = np.unique(K.unique((rec << 24) | code) & 0xFFFFFF, return_counts=True)
+            held[token] += n.astype(np.int32)
+        token = np.flatnonzero(held > 1)
+        for i in range(0, len(token), 100_000):
+            some = token[i : i + 100_000]
+            yield pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), pa.array(held[some], pa.int32())], ["token", "n"])
+
+    short = reps.where(F.length("residues") < SHORT / threshold + K.WINDOW - 1).select("residues")
+    t = short.mapInArrow(count, "token int, n int").groupBy("token").agg(F.sum("n").alias("n")).where(F.col("n") > CROWD).toArrow()
+    h, n = K.mix32(t.column("token").to_numpy()).astype(np.uint64), t.column("n").to_numpy()
+    o = np.argsort(h)
+    return h[o], (4 * np.log2(np.maximum(n[o], 1))).astype(np.uint8)
 
 
 def crowd_signatures(off: np.ndarray, data: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray]:
     """Record and key of CLASSES combinations of three tokens a record in each of ROUNDS hashings of their own."""
     out_rec, out_key = [], []
     for hashing in range(1, ROUNDS + 1):
-        _, _, has, m = prefixes(off, data, hashing)
-        out_rec.append(np.repeat(has, CLASSES))
-        out_key.append(joined(m, 3, hashing).ravel())
+        rec, _, has, m = prefixes(off, data, hashing)
+        r, key = combinations(m, has, np.bincount(rec, minlength=len(off) - 1), 3, threshold, hashing)
+        out_rec.append(r)
+        out_key.append(key)
     return np.concatenate(out_rec), np.concatenate(out_key)
 
 
@@ -129,27 +179,53 @@ def spanned(left: np.ndarray, low: np.ndarray, high: np.ndarray, limit: int = BL
         i = j
 
 
+def token_pairs(sig: np.ndarray, threshold: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs of records (as positions in ``sig``) that may be close and have this token among their first common ones.
+
+    ``sig``: keys of single tokens in order, so the records of a token stand by their number of windows. With a and b
+    windows, a close pair has at least (a + b) * threshold / (1 + threshold) in common; all of them but fewer than MEETINGS
+    follow each of the first MEETINGS in the global order. So the a - p windows from place p on bound b, and the same
+    holds the other way round. Every close pair meets both bounds at its first MEETINGS common tokens, or at all that it
+    needs if these are fewer; such pairs are given as many times at each as make up for it.
+    """
+    share = threshold / (1 + threshold)
+    size, place = ((sig >> np.uint64(9)) & np.uint64(255)).astype(np.int64), ((sig >> np.uint64(1)) & np.uint64(255)).astype(np.int64)
+    reach = np.clip(np.floor((size - place + MEETINGS - 1) / share - size + 1e-9), 0, 255).astype(np.int64)
+    last = (sig >> np.uint64(PLACE) << np.uint64(PLACE)) | (reach.astype(np.uint64) << np.uint64(9)) | np.uint64(511)
+    at = np.arange(len(sig))
+    for i, j in spanned(at, at + 1, np.searchsorted(sig, last, "right")):
+        ok = size[i] <= reach[j]
+        i, j = i[ok], j[ok]
+        least = np.ceil((size[i] + size[j]) * share - 1e-9).astype(np.int64)
+        times = -(-MEETINGS // np.clip(least, 1, MEETINGS))
+        yield np.repeat(i, times), np.repeat(j, times)
+
+
 def list_pairs(mode: str, starts: np.ndarray, ends: np.ndarray, label: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Pairs inside the lists [start, end): ``all`` of them, ``star``: each with the first, ``across``: of different
-    labels (sorted inside a list)."""
+    labels (sorted inside a list), ``new``: all but those of two records with label 1 (after those with label 0)."""
     if mode == "all":
         return K.pair_blocks(starts, ends, BLOCK)
     if mode == "star":
         return spanned(starts, starts + 1, ends)
     n = ends - starts
     at = np.repeat(starts - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
+    if mode == "new":
+        plain = label[at] == 0
+        return spanned(at[plain], at[plain] + 1, np.repeat(ends, n)[plain])
     run = np.repeat(np.arange(len(n)), n)
     change = np.flatnonzero(np.r_[True, (run[1:] != run[:-1]) | (label[at][1:] != label[at][:-1])]) if len(at) else np.zeros(0, np.int64)
     size = np.diff(np.r_[change, len(at)])
     return spanned(at, np.repeat(at[change] + size, size), np.repeat(ends, n))
 
 
-def met(reps: DataFrame, keys, per_record: int, crowd: int | None, threshold: float, mode: str = "all") -> DataFrame:
-    """Pairs of records sharing at least two keys (or one whose lowest bit is 1): id_a < id_b, n.
+def met(reps: DataFrame, keys, per_record: int, crowd: int | None, threshold: float, mode: str = "new") -> DataFrame:
+    """Pairs of records sharing two keys with lowest bit 0 or the first MEETINGS with lowest bit 1: id_a < id_b, n.
 
     ``keys``: a function like ``signatures``. A key with lowest bit 0 that more than ``crowd`` records share gives no
     pairs; its records are named in rows with id_a = id_b instead. None: every key gives its pairs.
-    ``mode``: which pairs of a key, see ``list_pairs``; ``across`` needs a column ``label`` (long).
+    ``mode``: which pairs of a key with lowest bit 0, see ``list_pairs``; ``across`` needs a column ``label`` (long).
+    ``new`` leaves out pairs of two records that both give single tokens: these find every close pair of them.
     """
     marked = mode == "across"
     n_buckets = max(4, -(-reps.count() * per_record // BUCKET))
@@ -172,21 +248,26 @@ def met(reps: DataFrame, keys, per_record: int, crowd: int | None, threshold: fl
 
     def match(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids, sig = K.unpack_bucket(pa.Table.from_batches(list(batches)), _MARKED if marked else _SIG)
-        label = sig["label"] if marked else ids
+        label = sig["label"] if marked else None
         sig = np.ascontiguousarray(sig["sig"]) if marked else sig
-        order = np.lexsort((label, sig)) if marked else np.argsort(sig, kind="stable")
+        single = (sig & np.uint64(1)) == 1
+        alone, token = ids[single], sig[single]
+        order = np.argsort(token, kind="stable")
+        alone, token = alone[order], token[order]
+        ids, sig = ids[~single], sig[~single]
+        label = label[~single] if marked else (sig >> np.uint64(1)) & np.uint64(1)
+        sig = sig & ~np.uint64(3)
+        order = np.lexsort((label, sig)) if marked else np.argsort(sig | label, kind="stable")
         sig, ids, label = sig[order], ids[order], label[order]
         starts = K.first_of(sig)
         ends = np.r_[starts[1:], len(sig)]
-        single = (sig[starts] & np.uint64(1)) == 1
-        done = single | (ends - starts <= (crowd or len(sig)))
+        done = ends - starts <= (crowd or len(sig))
         found, waiting = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64))], 0
-        for strong in (False, True):
-            of = done & (single == strong)
-            for i, j in list_pairs(mode, starts[of], ends[of], label):
-                a, b = np.minimum(ids[i], ids[j]), np.maximum(ids[i], ids[j])
+        for own, weight, pairs in ((ids, MEETINGS // 2, list_pairs(mode, starts[done], ends[done], label)), (alone, 1, token_pairs(token, threshold))):
+            for i, j in pairs:
+                a, b = np.minimum(own[i], own[j]), np.maximum(own[i], own[j])
                 a, b, n = K.unique_pairs(a[a != b], b[a != b])
-                found.append((a, b, n * (1 + strong)))
+                found.append((a, b, n * weight))
                 waiting += len(a)
                 if waiting > HELD:
                     # Counts of a pair may leave in parts: they are added up after the exchange.
@@ -195,19 +276,20 @@ def met(reps: DataFrame, keys, per_record: int, crowd: int | None, threshold: fl
                         yield rows(*found.pop())
         if found:
             yield rows(*_folded(found))
+        crowded = ~done if mode != "new" else ~done & (label[starts] == 0)
         inside = np.zeros(len(sig) + 1, np.int64)
-        inside[starts[~done]] += 1
-        inside[ends[~done]] -= 1
+        inside[starts[crowded]] += 1
+        inside[ends[crowded]] -= 1
         many = np.unique(ids[np.cumsum(inside)[:-1] > 0])
         yield rows(many, many, np.zeros(len(many), np.int64))
 
     packed = reps.select("id", "residues", *(["label"] if marked else [])).mapInArrow(emit, K.PACKED)
-    return packed.groupBy("bucket").applyInArrow(match, "id_a long, id_b long, n long").groupBy("id_a", "id_b").agg(F.sum("n").alias("n")).where("n >= 2 or id_a = id_b")
+    return packed.groupBy("bucket").applyInArrow(match, "id_a long, id_b long, n long").groupBy("id_a", "id_b").agg(F.sum("n").alias("n")).where(f"n >= {MEETINGS} or id_a = id_b")
 
 
 def candidate_pairs(reps: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """Pairs to be verified by ``near_pairs``, whose docstring has the method: id_a < id_b."""
-    first = materialize(met(reps, signatures, CLASSES, CROWD, threshold), "met")
+    first = materialize(met(reps, partial(signatures, common=common_tokens(reps, threshold)), CLASSES, CROWD, threshold), "met")
     pairs = first.where("id_a < id_b").select("id_a", "id_b")
     crowd = materialize(reps.join(first.where("id_a = id_b").select(F.col("id_a").alias("id")), "id", "left_semi").select("id", "residues"), "crowd")
     if crowd.isEmpty():
@@ -220,10 +302,11 @@ def near_pairs(reps: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
 
     ``reps``: id (long, unique) and residues (A-Z only); it is read several times, so it should be a stored table.
     Method: token-combination prefixes (``signatures``). Signatures go to buckets as packed arrays; in a bucket,
-    records sharing a two-token combination meet where at most CROWD share it. Single tokens serve records with few
-    windows. All records of more crowded combinations are searched again among themselves by combinations of three
+    records sharing a two-token combination meet where at most CROWD share it. Single tokens, rare ones first, serve
+    pairs of records with few windows, each record under SHORT / threshold; they bound the windows in common
+    (``token_pairs``), so that relatives below the threshold are seldom candidates. All records of more crowded combinations are searched again among themselves by combinations of three
     tokens in ROUNDS hashings of their own (``crowd_signatures``), where every combination is followed however many
-    share it. A pair is a candidate with two meetings in a search, or one of a single token; candidates are then
+    share it. A pair is a candidate with two meetings in a search, or MEETINGS of single tokens; candidates are then
     verified exactly on the whole sequences.
 
     The prefixes are taken from hashed classes, so a pair can be missed. A pair that shares no crowded combination is
@@ -232,7 +315,8 @@ def near_pairs(reps: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     share classes, so the chance is that of runs in circles of CLASSES draws of chance s, simulated (2,000,000 circles):
     at similarity 0.5 1.5e-5 for the first search and 1.2e-6 for the second, at 0.55 3e-6 and 9e-9. It doesn't depend on the size of a
     crowd. Borrowed prefixes make the draws of records with few windows less independent than that (no figure for them); pairs in
-    which the smaller record has under SHORT windows are never missed. No group of records is cut or sampled.
+    which the smaller record has under SHORT windows, or the larger under SHORT / threshold, are never missed. No group of
+    records is cut or sampled.
     Output: id_a < id_b, similarity.
     """
     return verify_pairs(candidate_pairs(reps, threshold), reps, reps, threshold)
@@ -246,7 +330,7 @@ def near_classes(reps: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     are still in different components are compared. No pair that could join two components is left out, so the
     components are those of all pairs that ``near_pairs`` finds.
     """
-    first = materialize(met(reps, signatures, CLASSES, CROWD, threshold), "met")
+    first = materialize(met(reps, partial(signatures, common=common_tokens(reps, threshold)), CLASSES, CROWD, threshold), "met")
     near = verify_pairs(first.where("id_a < id_b").select("id_a", "id_b"), reps, reps, threshold).select(F.col("id_a").alias("u"), F.col("id_b").alias("v"))
     crowd = materialize(reps.join(first.where("id_a = id_b").select(F.col("id_a").alias("id")), "id", "left_semi").select("id", "residues"), "crowd")
     stars = verify_pairs(met(crowd, crowd_signatures, CLASSES * ROUNDS, None, threshold, "star").select("id_a", "id_b"), crowd, crowd, threshold)

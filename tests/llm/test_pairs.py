@@ -78,6 +78,41 @@ def test_near_pairs_of_a_large_family(spark):
     assert len(want - got) <= 1e-4 * len(want)
 
 
+def test_near_pairs_of_short_relatives(spark):
+    # A crowd of distant relatives with few windows: nearly all of its pairs have some of the common windows in their prefixes.
+    rng = random.Random(31)
+    core = "".join(rng.choice(AA) for _ in range(75))
+    family = [edited(core, rng.uniform(0.15, 0.37), rng) for _ in range(1500)]
+    family = list(dict.fromkeys(family + [edited(x, 0.03, rng) for x in family[:150]]))
+    at = {}
+    for i, x in enumerate(family):
+        for w in {x[k : k + K.WINDOW] for k in range(len(x) - K.WINDOW + 1)}:
+            at.setdefault(w, []).append(i)
+    has = np.zeros((len(family), len(at)), np.float32)
+    for c, members in enumerate(at.values()):
+        has[members, c] = 1
+    both, size = has @ has.T, has.sum(axis=1)
+    i, j = np.triu_indices(len(family), 1)
+    close = both[i, j] >= 0.5 * (size[i] + size[j] - both[i, j])
+    want = set(zip(i[close].tolist(), j[close].tolist()))
+    assert len(want) > 100 and (both[i, j] > 0).mean() > 0.8
+    df = spark.createDataFrame(list(enumerate(family)), "id long, residues string")
+    assert {(r["id_a"], r["id_b"]) for r in N.near_pairs(df).collect()} == want
+    assert N.candidate_pairs(df).count() < 20 * len(want)
+
+
+def test_near_pairs_of_short_records_are_exact(spark):
+    # Few letters and 1 to 79 windows: pairs that need only one to three common windows, and pairs of unequal sizes.
+    rng = random.Random(37)
+    short = []
+    for _ in range(150):
+        base = "".join(rng.choice(AA[: rng.choice([2, 3, 20])]) for _ in range(rng.choice([5, 6, 7, 8, 12, 20, 44, 60, 83])))
+        short += [base, edited(base, 0.04, rng), base[1:], base[: len(base) * 2 // 3], base[:-2] + "AC"]
+    short = list(dict.fromkeys(x for x in short if len(x) >= 5))
+    t = N.near_pairs(spark.createDataFrame(list(enumerate(short)), "id long, residues string")).toArrow()
+    assert set(zip(t.column("id_a").to_pylist(), t.column("id_b").to_pylist())) == brute(short)
+
+
 def test_near_classes(spark, texts):
     df = spark.createDataFrame(list(enumerate(texts)), "id long, residues string")
     group = list(range(len(texts)))
