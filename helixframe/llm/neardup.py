@@ -19,15 +19,16 @@ THRESHOLD = 0.5
 CLASSES = 64
 #: A combination of two tokens shared by more records than this is crowded.
 CROWD = 48
-#: Independent hashings in which the records of crowded combinations are searched again, by three tokens.
+#: Independent hashings in which ``near_classes`` searches the records of crowded combinations again, by three tokens.
 ROUNDS = 3
 #: Pairs with fewer windows than this in the smaller record are found by single tokens (exact prefix filter); the larger
 #: record of such a pair has under SHORT / threshold windows, and so do all records that give single tokens.
 SHORT = 40
 #: Meetings that make a candidate: of single tokens each counts one, of combinations each counts half of this.
 MEETINGS = 4
-#: Low bits of the key of a single token: the lowest is 1, then its place in the record's order and the record's windows.
-PLACE = 17
+#: Low bits of the key of a single token: the lowest is 1, then 15 bits of its place in the record's order and 16 of the
+#: record's windows; the hash of the token stands above them.
+PLACE, WIDE, DEEP = 32, (1 << 16) - 1, (1 << 15) - 1
 #: Signatures a bucket of the exchange is meant to hold.
 BUCKET = 1_000_000
 
@@ -88,34 +89,46 @@ def signatures(off: np.ndarray, data: np.ndarray, threshold: float, common: tupl
     order, rare tokens first (``common``: see ``common_tokens``); the lowest bit of their keys is 1. The prefix is so long
     that the first MEETINGS common tokens of a close pair are in both.
     """
-    if threshold * 256 < SHORT:
-        raise ValueError("windows and places of short records need 8 bits at this threshold")
     rec, h, has, m = prefixes(off, data)
     n = len(off) - 1
     size = np.bincount(rec, minlength=n)
     parts = [combinations(m, has, size, 2, threshold)]
-    few = np.flatnonzero((size > 0) & (size < SHORT / threshold))
-    if len(few):
-        mine = np.isin(rec, few)
-        r, h = rec[mine], h[mine].astype(np.uint64)
-        t, level = K.mix64(h + np.uint64(1 << 50)), np.zeros(len(h), np.uint8)
-        if common is not None and len(common[0]):
-            at = np.minimum(np.searchsorted(common[0], h), len(common[0]) - 1)
-            level = np.where(common[0][at] == h, common[1][at], 0)
-        o = np.lexsort((t, level, r))
-        r, t = r[o], t[o]
-        start = np.r_[0, np.cumsum(np.bincount(r, minlength=n))][:-1]
-        place = np.arange(len(r)) - start[r]
-        prefix = size[r] - np.ceil(threshold * size[r] - 1e-9).astype(np.int64) + MEETINGS
-        keep = place < prefix
-        r, place = r[keep], place[keep]
-        low = (size[r] << 9) | (place << 1) | 1
-        parts.append((r, (K.mix64(t[keep]) >> np.uint64(PLACE) << np.uint64(PLACE)) | low.astype(np.uint64)))
+    few = size[rec] < SHORT / threshold
+    if few.any():
+        parts.append(single_tokens(rec[few], h[few], size, threshold, common))
     return tuple(np.concatenate(c) for c in zip(*parts))
 
 
-def common_tokens(reps: DataFrame, threshold: float) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes (in order) of the tokens that more than CROWD short records hold, and a level that rises with their number.
+def single_tokens(rec: np.ndarray, h: np.ndarray, size: np.ndarray, threshold: float, common: tuple[np.ndarray, np.ndarray] | None) -> tuple[np.ndarray, np.ndarray]:
+    """Record and key of the tokens in the prefix of each record, see ``signatures``; a record's tokens stand together.
+
+    Records with more than WIDE windows have that number and place 0, which only makes the bounds of their pairs wider.
+    """
+    h = h.astype(np.uint64)
+    t, level = K.mix64(h + np.uint64(1 << 50)), np.zeros(len(h), np.uint8)
+    if common is not None and len(common[0]):
+        at = np.minimum(np.searchsorted(common[0], h), len(common[0]) - 1)
+        level = np.where(common[0][at] == h, common[1][at], 0)
+    o = np.lexsort((t, level, rec))
+    r, h = rec[o], h[o]
+    start = np.r_[0, np.cumsum(np.bincount(r, minlength=len(size)))][:-1]
+    place = np.arange(len(r)) - start[r]
+    keep = place < size[r] - np.ceil(threshold * size[r] - 1e-9).astype(np.int64) + MEETINGS
+    r, h, place = r[keep], h[keep], place[keep]
+    low = (np.minimum(size[r], WIDE) << 16) | (np.where(size[r] > WIDE, 0, np.minimum(place, DEEP)) << 1) | 1
+    return r, (h << np.uint64(PLACE)) | low.astype(np.uint64)
+
+
+def crowd_tokens(off: np.ndarray, data: np.ndarray, threshold: float, common: tuple[np.ndarray, np.ndarray] | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """The single tokens of all records of a batch, whatever their length."""
+    rec, code = K.codes(off, data, K.WINDOW)
+    key = K.unique((rec << 32) | K.mix32(code).astype(np.int64))
+    rec = key >> 32
+    return single_tokens(rec, key & 0xFFFFFFFF, np.bincount(rec, minlength=len(off) - 1), threshold, common)
+
+
+def common_tokens(reps: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes (in order) of the tokens that more than CROWD records hold, and a level that rises with their number.
 
     They only put the single tokens in order: the result is the same with any order, but where a crowd of relatives has
     its common tokens last, the prefixes of two of them have a token in common only if they are nearly close enough. So
@@ -133,8 +146,7 @@ def common_tokens(reps: DataFrame, threshold: float) -> tuple[np.ndarray, np.nda
             some = token[i : i + 100_000]
             yield pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), pa.array(held[some], pa.int32())], ["token", "n"])
 
-    short = reps.where(F.length("residues") < SHORT / threshold + K.WINDOW - 1).select("residues")
-    t = short.mapInArrow(count, "token int, n int").groupBy("token").agg(F.sum("n").alias("n")).where(F.col("n") > CROWD).toArrow()
+    t = reps.select("residues").mapInArrow(count, "token int, n int").groupBy("token").agg(F.sum("n").alias("n")).where(F.col("n") > CROWD).toArrow()
     h, n = K.mix32(t.column("token").to_numpy()).astype(np.uint64), t.column("n").to_numpy()
     o = np.argsort(h)
     return h[o], (4 * np.log2(np.maximum(n[o], 1))).astype(np.uint8)
@@ -189,9 +201,9 @@ def token_pairs(sig: np.ndarray, threshold: float) -> Iterator[tuple[np.ndarray,
     needs if these are fewer; such pairs are given as many times at each as make up for it.
     """
     share = threshold / (1 + threshold)
-    size, place = ((sig >> np.uint64(9)) & np.uint64(255)).astype(np.int64), ((sig >> np.uint64(1)) & np.uint64(255)).astype(np.int64)
-    reach = np.clip(np.floor((size - place + MEETINGS - 1) / share - size + 1e-9), 0, 255).astype(np.int64)
-    last = (sig >> np.uint64(PLACE) << np.uint64(PLACE)) | (reach.astype(np.uint64) << np.uint64(9)) | np.uint64(511)
+    size, place = ((sig >> np.uint64(16)) & np.uint64(WIDE)).astype(np.int64), ((sig >> np.uint64(1)) & np.uint64(DEEP)).astype(np.int64)
+    reach = np.clip(np.floor((size - place + MEETINGS - 1) / share - size + 1e-9), 0, WIDE).astype(np.int64)
+    last = (sig >> np.uint64(PLACE) << np.uint64(PLACE)) | (reach.astype(np.uint64) << np.uint64(16)) | np.uint64(WIDE)
     at = np.arange(len(sig))
     for i, j in spanned(at, at + 1, np.searchsorted(sig, last, "right")):
         ok = size[i] <= reach[j]
@@ -219,6 +231,10 @@ def list_pairs(mode: str, starts: np.ndarray, ends: np.ndarray, label: np.ndarra
     return spanned(at, np.repeat(at[change] + size, size), np.repeat(ends, n))
 
 
+def short_texts(reps: DataFrame, threshold: float) -> DataFrame:
+    return reps.where(F.length("residues") < SHORT / threshold + K.WINDOW - 1)
+
+
 def met(reps: DataFrame, keys, per_record: int, crowd: int | None, threshold: float, mode: str = "new") -> DataFrame:
     """Pairs of records sharing two keys with lowest bit 0 or the first MEETINGS with lowest bit 1: id_a < id_b, n.
 
@@ -289,12 +305,14 @@ def met(reps: DataFrame, keys, per_record: int, crowd: int | None, threshold: fl
 
 def candidate_pairs(reps: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """Pairs to be verified by ``near_pairs``, whose docstring has the method: id_a < id_b."""
-    first = materialize(met(reps, partial(signatures, common=common_tokens(reps, threshold)), CLASSES, CROWD, threshold), "met")
+    first = materialize(met(reps, partial(signatures, common=common_tokens(short_texts(reps, threshold))), CLASSES, CROWD, threshold), "met")
     pairs = first.where("id_a < id_b").select("id_a", "id_b")
     crowd = materialize(reps.join(first.where("id_a = id_b").select(F.col("id_a").alias("id")), "id", "left_semi").select("id", "residues"), "crowd")
     if crowd.isEmpty():
         return pairs
-    return pairs.union(met(crowd, crowd_signatures, CLASSES * ROUNDS, None, threshold).select("id_a", "id_b")).distinct()
+    windows = crowd.agg(F.avg(F.length("residues"))).first()[0]
+    again = met(crowd, partial(crowd_tokens, common=common_tokens(crowd)), int((1 - threshold) * windows) + MEETINGS, None, threshold)
+    return pairs.union(again.select("id_a", "id_b")).distinct()
 
 
 def near_pairs(reps: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
@@ -304,19 +322,17 @@ def near_pairs(reps: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     Method: token-combination prefixes (``signatures``). Signatures go to buckets as packed arrays; in a bucket,
     records sharing a two-token combination meet where at most CROWD share it. Single tokens, rare ones first, serve
     pairs of records with few windows, each record under SHORT / threshold; they bound the windows in common
-    (``token_pairs``), so that relatives below the threshold are seldom candidates. All records of more crowded combinations are searched again among themselves by combinations of three
-    tokens in ROUNDS hashings of their own (``crowd_signatures``), where every combination is followed however many
-    share it. A pair is a candidate with two meetings in a search, or MEETINGS of single tokens; candidates are then
-    verified exactly on the whole sequences.
-
-    The prefixes are taken from hashed classes, so a pair can be missed. A pair that shares no crowded combination is
-    missed if under two of its CLASSES neighbouring pairs of classes agree; any other pair has both records in the
-    second search, and is missed only if, in addition, under two of its ROUNDS * CLASSES neighbouring triples agree. Neighbours
-    share classes, so the chance is that of runs in circles of CLASSES draws of chance s, simulated (2,000,000 circles):
-    at similarity 0.5 1.5e-5 for the first search and 1.2e-6 for the second, at 0.55 3e-6 and 9e-9. It doesn't depend on the size of a
-    crowd. Borrowed prefixes make the draws of records with few windows less independent than that (no figure for them); pairs in
-    which the smaller record has under SHORT windows, or the larger under SHORT / threshold, are never missed. No group of
-    records is cut or sampled.
+    (``token_pairs``), so that relatives below the threshold are seldom candidates. All records of more crowded
+    combinations are searched again among themselves by single tokens in the same way, whatever their length and however
+    many share one (``crowd_tokens``). A pair is a candidate with two meetings by combinations, or MEETINGS of single
+    tokens; candidates are then verified exactly on the whole sequences.
+
+    The prefixes of combinations are taken from hashed classes, so a pair can be missed, but only one that shares no
+    crowded combination: if under two of its CLASSES neighbouring pairs of classes agree. Neighbours share classes, so
+    the chance is that of runs in circles of CLASSES draws of chance s, simulated (2,000,000 circles): at similarity 0.5
+    1.5e-5, at 0.55 3e-6. Borrowed prefixes make the draws of records with few windows less independent than that (no
+    figure for them). Never missed are pairs that share a crowded combination, pairs in which the smaller record has
+    under SHORT windows, and those in which the larger has under SHORT / threshold. No group of records is cut or sampled.
     Output: id_a < id_b, similarity.
     """
     return verify_pairs(candidate_pairs(reps, threshold), reps, reps, threshold)
@@ -326,11 +342,12 @@ def near_classes(reps: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """node, component (least id) of every record with a partner in ``near_pairs``, without forming all pairs of a crowd.
 
     The first search is that of ``near_pairs``. Of the records of crowded combinations each is then compared only with
-    the first record of its lists, which joins most of a crowd; in a second round of the same lists only records that
-    are still in different components are compared. No pair that could join two components is left out, so the
-    components are those of all pairs that ``near_pairs`` finds.
+    the first record of its lists (``crowd_signatures``), which joins most of a crowd; in a second round of the same lists
+    only records that are still in different components are compared. A pair of a crowd is left out if under two of its
+    ROUNDS * CLASSES neighbouring triples of classes agree (simulated: 1.2e-6 at similarity 0.5, 9e-9 at 0.55); the
+    components are those of all pairs but such.
     """
-    first = materialize(met(reps, partial(signatures, common=common_tokens(reps, threshold)), CLASSES, CROWD, threshold), "met")
+    first = materialize(met(reps, partial(signatures, common=common_tokens(short_texts(reps, threshold))), CLASSES, CROWD, threshold), "met")
     near = verify_pairs(first.where("id_a < id_b").select("id_a", "id_b"), reps, reps, threshold).select(F.col("id_a").alias("u"), F.col("id_b").alias("v"))
     crowd = materialize(reps.join(first.where("id_a = id_b").select(F.col("id_a").alias("id")), "id", "left_semi").select("id", "residues"), "crowd")
     stars = verify_pairs(met(crowd, crowd_signatures, CLASSES * ROUNDS, None, threshold, "star").select("id_a", "id_b"), crowd, crowd, threshold)
